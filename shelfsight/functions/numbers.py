@@ -26,6 +26,11 @@ def strict_number(c: Column) -> Column:
     return F.when(text.rlike(PLAIN_NUMBER), F.trim(text).try_cast("double"))
 
 
+def _without(text: Column, mark: str) -> Column:
+    """Text without a mark; cheap where the mark does not occur."""
+    return F.replace(text, F.lit(mark), F.lit(""))
+
+
 def currency(c: Column) -> Column:
     """'$1,200.50' -> 1200.5; anything unreadable -> 0."""
     kept = F.regexp_replace(c.cast("string"), r"[^0-9.\-]", "")
@@ -34,7 +39,7 @@ def currency(c: Column) -> Column:
 
 def loose_number(c: Column) -> Column:
     """Drop '%' and ',' and read the rest; unreadable -> NULL."""
-    return strict_number(F.translate(c.cast("string"), "%,", ""))
+    return strict_number(_without(_without(c.cast("string"), "%"), ","))
 
 
 def percent(c: Column, as_fraction: bool = False) -> Column:
@@ -47,14 +52,14 @@ def percent(c: Column, as_fraction: bool = False) -> Column:
 
 def integer(c: Column) -> Column:
     """'1,234' -> 1234, truncated toward zero; unreadable -> 0."""
-    value = strict_number(F.translate(c.cast("string"), ",", ""))
+    value = strict_number(_without(c.cast("string"), ","))
     return F.coalesce(value.try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def first_number(c: Column) -> Column:
     """First digit run in the text with thousands commas dropped, else NULL."""
     run = F.regexp_extract(c.cast("string"), r"(\d[\d,]*\.?\d*)", 1)
-    return F.translate(run, ",", "").try_cast("double")
+    return _without(run, ",").try_cast("double")
 
 
 def digits_price(c: Column) -> Column:
@@ -76,7 +81,7 @@ def bought_count(
         has_k = text.contains("k")
         k_digits = F.regexp_extract(text, r"([\d.]+)", 1)
     else:
-        text = F.translate(text, ",", "")
+        text = _without(text, ",")
         has_k = text.rlike(r"\d[\d.]*\s*k")
         k_digits = F.regexp_extract(text, r"(\d[\d.]*)\s*k", 1)
     zero, fail = F.lit(0.0), F.lit(on_fail).cast("double")
@@ -94,7 +99,7 @@ def bought_count(
 
 def share_pct(c: Column) -> Column:
     """'80%' -> 80.0; unreadable text -> 0; NULL stays NULL."""
-    bare = strip(F.translate(c.cast("string"), "%", ""))
+    bare = strip(_without(c.cast("string"), "%"))
     return F.when(c.isNotNull(), F.coalesce(strict_number(bare), F.lit(0.0)))
 
 

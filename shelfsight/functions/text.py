@@ -68,11 +68,16 @@ def attribute_map(text: Column) -> Column:
             strip(F.substring(p, F.locate(":", p) + 1, F.length(p))).alias("value"),
         ),
     )
-    keys = F.transform(pairs, lambda p: p["key"])
-    last = F.filter(
-        pairs,
-        lambda p, i: ~F.array_contains(
-            F.slice(keys, i + 2, F.greatest(F.size(keys), F.lit(1))), p["key"]
-        ),
-    )
-    return F.map_from_entries(last)
+    # The one-element array binds the pairs to a name, so that the text is
+    # taken apart once and not again for every pair.
+    return F.transform(
+        F.array(pairs), lambda found: F.map_from_entries(_last_of_each_key(found))
+    )[0]
+
+
+def _last_of_each_key(pairs: Column) -> Column:
+    def repeated_later(pair: Column, i: Column) -> Column:
+        later = F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1)))
+        return F.exists(later, lambda other: other["key"] == pair["key"])
+
+    return F.filter(pairs, lambda pair, i: ~repeated_later(pair, i))

@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfsight.functions.numbers import cents, strict_number
+from shelfsight.functions.numbers import cents
 from shelfsight.operators.common import (
     group,
     histogram,
     money_avg,
     money_sum,
+    number_in,
     quantiles_of,
     top_n,
 )
@@ -23,17 +24,17 @@ MAX_TEXT_GROUPS = 15
 
 def is_numeric_attribute(df: DataFrame, attribute: str) -> bool:
     """Whether any value reads as a number; stops at the first that does."""
-    number = strict_number(F.col(f"`{attribute}`"))
+    number = number_in(df, attribute)
     return not df.where(number.isNotNull()).select(F.lit(1)).isEmpty()
 
 
 def prepare_attribute(df: DataFrame, attribute: str, numeric: bool) -> DataFrame:
     """Add ``attr``: whole positive numbers (half to even), or the text."""
-    column = F.col(f"`{attribute}`")
     if numeric:
-        rounded = df.withColumn("attr", F.bround(strict_number(column), 0))
+        rounded = df.withColumn("attr", F.bround(number_in(df, attribute), 0))
         return rounded.where(F.col("attr") > 0)
-    return df.withColumn("attr", column.cast("string")).where(column.isNotNull())
+    named = df.withColumn("attr", F.col(f"`{attribute}`").cast("string"))
+    return named.where(F.col("attr").isNotNull())
 
 
 def attribute_groups(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shelfsight.config import NEW_LABEL_SHORT, UNKNOWN
 from shelfsight.functions import dates, numbers, text
-from shelfsight.operators.common import attach, group
+from shelfsight.operators.common import attach, group, is_text, number_in
 from shelfsight.sources.headers import (
     HISTORY_NUMERIC_KEYS,
     HISTORY_PRICE_KEYS,
@@ -31,17 +31,13 @@ TEXT_ALWAYS = ("brand", "category")
 MEASURED_COLUMNS = ("rating", "category_rank")
 
 
-def _is_text(df: DataFrame, name: str) -> bool:
-    return df.schema[name].dataType.typeName() == "string"
-
-
 def clean_money(df: DataFrame) -> DataFrame:
     """Money columns as numbers, 0 where unreadable."""
     return df.withColumns(
         {
             c: numbers.currency(F.col(c))
-            if _is_text(df, c)
-            else F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0))
+            if is_text(df, c)
+            else F.coalesce(number_in(df, c), F.lit(0.0))
             for c in existing(df, MONEY_COLUMNS)
         }
     )
@@ -70,7 +66,7 @@ def clean_measures(df: DataFrame) -> DataFrame:
         {
             c: numbers.strict_number(F.col(c))
             for c in existing(df, MEASURED_COLUMNS)
-            if _is_text(df, c)
+            if is_text(df, c)
         }
     )
 
@@ -97,7 +93,7 @@ def listing_age(
     """
     if "listed_at" not in df.columns:
         return df
-    if _is_text(df, "listed_at"):
+    if is_text(df, "listed_at"):
         df = df.withColumn("listed_at", dates.parse_timestamp(F.col("listed_at")))
     age = dates.days_since(F.col("listed_at"), dates.as_of_column(as_of))
     df = df.withColumn("days_listed_calc", age)
@@ -194,8 +190,10 @@ def clean_history(df: DataFrame) -> DataFrame:
         c: numbers.strict_number(
             F.regexp_replace(F.col(c).cast("string"), r"[^0-9.\-]", "")
         )
-        if c in HISTORY_PRICE_KEYS and _is_text(keyed, c)
+        if c in HISTORY_PRICE_KEYS and is_text(keyed, c)
         else numbers.loose_number(F.col(c))
+        if is_text(keyed, c)
+        else number_in(keyed, c)
         for c in have
     }
     return keyed.withColumns({**raw, **clean})

@@ -7,11 +7,13 @@ the whole input is one market. ``by`` columns must not be NULL.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfsight.functions.numbers import cents
+from shelfsight.functions.numbers import cents, strict_number
 
 # Bins per power of two in ``magnitude_bin``.
 BINS_PER_OCTAVE = 256
@@ -36,6 +38,32 @@ def group(df: DataFrame, by: Sequence[str] = ()):
     return df.groupBy(*[F.col(c) for c in by])
 
 
+def is_text(df: DataFrame, name: str) -> bool:
+    """Whether the column holds text."""
+    return df.schema[name].dataType.typeName() == "string"
+
+
+def number_in(df: DataFrame, name: str) -> Column:
+    """The column as a number: text is read, numbers are taken as they are."""
+    column = F.col(f"`{name}`")
+    if is_text(df, name):
+        return strict_number(column)
+    return F.nanvl(column.cast("double"), F.lit(None).cast("double"))
+
+
+def with_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are worked out exactly once per row.
+
+    A filter on a plain computed column moves below the projection and carries
+    a copy of the expression with it, and of every expression that one reads.
+    For long text parsing that repeats the work and outgrows generated code.
+    A filter on the output of a generator stays where it is.
+    """
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(row)))
+
+
 def money_sum(c: Column) -> Column:
     """Exact sum of money; 0 over no rows."""
     return F.coalesce(F.sum(cents(c)), F.lit(0)) / 100
@@ -88,11 +116,13 @@ def running_totals(
     totals: Sequence[str],
     by: Sequence[str] = (),
     descending: bool = False,
+    ranks: Sequence[Column] = (),
 ) -> DataFrame:
     """Add ``before_<c>`` (sum over earlier values) and ``all_<c>`` per total.
 
     Sums run in two levels. Bins are few, so their running sum is one small
-    window per market; values are then summed inside their own bin only.
+    window per market; values are then summed inside their own bin only. With
+    ``ranks`` only the bins that hold one of these row numbers are kept.
     """
     binned = hist.withColumn("bin", magnitude_bin(F.col("value")))
     market = Window.partitionBy(*[F.col(c) for c in by])
@@ -112,6 +142,7 @@ def running_totals(
         .select(
             *by,
             "bin",
+            *(["bin_n"] if ranks else []),
             *[
                 F.coalesce(F.sum(f"bin_{c}").over(earlier_bins), F.lit(0)).alias(
                     f"bins_before_{c}"
@@ -121,6 +152,10 @@ def running_totals(
             *[F.sum(f"bin_{c}").over(market).alias(f"all_{c}") for c in totals],
         )
     )
+    if ranks:
+        first = F.col("bins_before_n")
+        holds = [(first <= r) & (r < first + F.col("bin_n")) for r in ranks]
+        bins = bins.where(reduce(or_, holds)).drop("bin_n")
     joined = binned.join(bins, [*by, "bin"])
     before = {
         f"before_{c}": F.col(f"bins_before_{c}")
@@ -146,9 +181,14 @@ def quantiles_of(
     Equal to sorting all values and interpolating, but no task ever holds the
     values of a whole market. One row per market; NULLs when it is empty.
     """
-    ranked = running_totals(hist, ["n"], by)
-    last = F.col("all_n") - 1
     ends, exact = [], []
+    last = F.col("all_n") - 1
+    ranks = [
+        rank
+        for p in probabilities.values()
+        for rank in (F.floor(last * p), F.least(F.floor(last * p) + 1, last))
+    ]
+    ranked = running_totals(hist, ["n"], by, ranks=ranks)
     for name, p in probabilities.items():
         rank = F.floor(last * p)
         ends += [

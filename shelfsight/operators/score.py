@@ -19,7 +19,7 @@ from shelfsight.config import (
     ScoreConfig,
 )
 from shelfsight.functions import numbers
-from shelfsight.operators.common import group, top_n
+from shelfsight.operators.common import group, number_in, top_n, with_once
 
 INPUTS = (
     "sales_text", "rank_drops", "price_curr", "rating_count", "rating_val",
@@ -42,7 +42,7 @@ def _inputs(
     def number(key: str, missing: float | None) -> Column:
         if key not in found:
             return zero
-        value = numbers.strict_number(found[key])
+        value = number_in(df, columns.get(key, key))
         return value if missing is None else F.coalesce(value, F.lit(missing))
 
     return {
@@ -72,9 +72,8 @@ def opportunity_score(
     ``columns`` maps input keys to column names that differ from them. The
     work is one projection: no shuffle and no Python per row.
     """
-    prepared = df.withColumns(
-        {f"_{k}": c for k, c in _inputs(df, columns or {}, legacy_sales).items()}
-    )
+    inputs = _inputs(df, columns or {}, legacy_sales)
+    prepared = with_once(df, {f"_{k}": c for k, c in inputs.items()})
     sales, drops, price = F.col("_sales"), F.col("_drops"), F.col("_price")
     reviews, rating, oos = F.col("_reviews"), F.col("_rating"), F.col("_oos")
     share, offers = F.col("_share"), F.col("_offers")
@@ -127,15 +126,18 @@ def opportunity_score(
         ),
         F.when(improvable, TAG_IMPROVABLE),
     )
-    return prepared.select(
-        *[F.col(f"`{c}`") for c in df.columns],
-        score.cast("int").alias("score"),
-        F.array_join(F.slice(F.array_compact(tags), 1, 3), " ").alias("tags"),
-        F.when(sells, sales.cast("bigint")).otherwise(0).alias("score_units"),
-        price.alias("score_price"),
-        rating.alias("score_rating"),
-        share.alias("score_share"),
+    scored = with_once(
+        prepared,
+        {
+            "score": score.cast("int"),
+            "tags": F.array_join(F.slice(F.array_compact(tags), 1, 3), " "),
+            "score_units": F.when(sells, sales.cast("bigint")).otherwise(0),
+            "score_price": price,
+            "score_rating": rating,
+            "score_share": share,
+        },
     )
+    return scored.drop(*[c for c in prepared.columns if c not in df.columns])
 
 
 def opportunities(scored: DataFrame) -> DataFrame:

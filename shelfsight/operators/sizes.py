@@ -9,14 +9,16 @@ from pyspark.sql import functions as F
 
 from shelfsight.config import SizeLimits
 from shelfsight.functions.bands import size_band, step_bin
-from shelfsight.functions.numbers import bought_count, digits_price, share_of, strict_number
+from shelfsight.functions.numbers import bought_count, digits_price, share_of
 from shelfsight.operators.common import (
     attach,
     group,
     histogram,
     money_sum,
+    number_in,
     quantiles_of,
     top_n,
+    with_once,
 )
 
 SIDES = ("pkg_l", "pkg_w", "pkg_h")
@@ -32,11 +34,14 @@ def sized(df: DataFrame) -> DataFrame:
     price = (
         digits_price(F.col(text_price)) if text_price in df.columns else F.lit(0.0)
     )
+    read = {
+        **{c: number_in(df, c) for c in SIDES},
+        "units": bought_count(F.col("sales_text"), on_fail=None),
+        "unit_price": price,
+    }
     return (
-        df.withColumns({c: strict_number(F.col(c)) for c in SIDES})
-        .withColumn("units", bought_count(F.col("sales_text"), on_fail=None))
+        with_once(df, read)
         .dropna(subset=[*SIDES, "units"])
-        .withColumn("unit_price", price)
         .withColumn("longest_side", F.greatest(*SIDES))
         .withColumn("est_revenue", F.col("units") * F.col("unit_price"))
         .withColumn("size_band", size_band(F.col("longest_side")))

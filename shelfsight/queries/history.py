@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfsight.config import APP_SCORE, ScoreConfig
-from shelfsight.operators import clean, kpi, listings, parents, prices, score, sizes
 from shelfsight.functions import numbers
+from shelfsight.operators import clean, kpi, listings, parents, prices, score, sizes
+from shelfsight.operators.common import histogram, quantiles_of, with_once
 from shelfsight.queries import tables
 from shelfsight.queries.cleaning import _bare, _num
 from shelfsight.queries.registry import query, sql_round
@@ -30,8 +31,7 @@ def _scored(c: ScoreConfig) -> str:
     COALESCE({_num(_bare('"Reviews: Rating Count"'))}, 9999.0) AS reviews,
     COALESCE({_num(_bare('"Reviews: Rating"'))}, 0.0) AS rating,
     COALESCE({_num(_bare('"Buy Box 🚚: 90 days OOS"'))}, 0.0) AS oos,
-    CASE WHEN "Buy Box: % Amazon 90 days" IS NOT NULL THEN
-      COALESCE({_num(_bare('"Buy Box: % Amazon 90 days"'))}, 0.0) END AS share,
+    {_num(_bare('"Buy Box: % Amazon 90 days"'))} AS share,
     CAST("Count of retrieved live offers: New, FBA" AS DOUBLE)
       + CAST("Count of retrieved live offers: New, FBM" AS DOUBLE) AS offers
   FROM history),
@@ -251,7 +251,7 @@ labelled AS (SELECT *, CASE WHEN bin_hi - bin_lo >= 5 THEN
 
 def _bins_of_listings(spark, sf_dir):
     price = numbers.first_number(F.col("price_curr_raw"))
-    df = tables.listings(spark, sf_dir).withColumn("price_read", price)
+    df = with_once(tables.listings(spark, sf_dir), {"price_read": price})
     return prices.price_bins(df, "price_read", "monthly_revenue")
 
 
@@ -314,8 +314,6 @@ FROM v GROUP BY l_returnflag""",
 )
 def line_price_quartiles(spark, sf_dir):
     """Exact quantiles over every order line."""
-    from shelfsight.operators.common import histogram, quantiles_of
-
     lines = tables.read(spark, sf_dir, "lineitem")
     hist = histogram(
         lines, numbers.cents(F.col("l_extendedprice")), ["l_returnflag"]

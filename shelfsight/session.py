@@ -11,6 +11,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # The JVM never compiles methods above 8000 bytes of bytecode. Long text
+    # projections are faster as several small methods than as one such method.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # GBK and GB18030 exports are refused by the CSV reader without this.
     "spark.sql.legacy.javaCharsets": "true",
 }

@@ -19,6 +19,7 @@ def session():
         .config("spark.driver.memory", "8g")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
