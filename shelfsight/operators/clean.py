@@ -48,6 +48,8 @@ def clean_percents(df: DataFrame, as_fraction: bool = False) -> DataFrame:
     return df.withColumns(
         {
             c: numbers.percent(F.col(c), as_fraction)
+            if is_text(df, c)
+            else F.coalesce(number_in(df, c), F.lit(0.0))
             for c in existing(df, PERCENT_COLUMNS)
         }
     )
@@ -56,7 +58,12 @@ def clean_percents(df: DataFrame, as_fraction: bool = False) -> DataFrame:
 def clean_integers(df: DataFrame) -> DataFrame:
     """Count columns as BIGINT, 0 where unreadable."""
     return df.withColumns(
-        {c: numbers.integer(F.col(c)) for c in existing(df, INTEGER_COLUMNS)}
+        {
+            c: numbers.integer(F.col(c))
+            if is_text(df, c)
+            else F.coalesce(number_in(df, c).cast("bigint"), F.lit(0).cast("bigint"))
+            for c in existing(df, INTEGER_COLUMNS)
+        }
     )
 
 

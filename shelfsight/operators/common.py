@@ -93,12 +93,15 @@ def histogram(
 ) -> DataFrame:
     """One row per distinct non-null value with its count ``n`` and measures.
 
-    Equal values collapse on the map side, so a hot value costs nothing.
+    Equal values collapse on the map side, so a hot value costs nothing. The
+    closing condition always holds; it names every column so that no reader of
+    the histogram drops one, and all of them share a single scan and shuffle.
     """
     keyed = df.withColumn("value", value).where(F.col("value").isNotNull())
-    return group(keyed, [*by, "value"]).agg(
+    counted = group(keyed, [*by, "value"]).agg(
         F.count(F.lit(1)).alias("n"), *[m.alias(k) for k, m in measures.items()]
     )
+    return counted.where(reduce(or_, [F.col(k).isNull() for k in measures], F.col("n") > 0))
 
 
 def magnitude_bin(value: Column) -> Column:
@@ -108,7 +111,8 @@ def magnitude_bin(value: Column) -> Column:
     are at most 256 bins per power of two, which bounds the bins per market.
     """
     size = F.log2(F.abs(value) + 1) * BINS_PER_OCTAVE
-    return F.floor(F.signum(value) * size)
+    # Never NULL, so that joining on the bin adds no filter to one branch only.
+    return F.coalesce(F.floor(F.signum(value) * size), F.lit(0))
 
 
 def running_totals(

@@ -12,12 +12,12 @@ from shelfsight.functions.numbers import share_of
 from shelfsight.operators.common import attach, group, money_avg, money_sum, top_n
 
 
-def market_kpis(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Means, totals and the largest unit count of each market, in one pass."""
+def kpi_columns(df: DataFrame) -> list[Column]:
+    """Aggregates of the market headline."""
     growth = (
         F.avg(F.col("growth_rate") * 100) if "growth_rate" in df.columns else F.lit(0.0)
     )
-    return group(df, by).agg(
+    return [
         F.count(F.lit(1)).alias("products"),
         F.avg("monthly_units").alias("avg_units"),
         F.coalesce(F.sum("monthly_units"), F.lit(0)).alias("total_units"),
@@ -26,7 +26,12 @@ def market_kpis(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         money_avg(F.col("price")).alias("avg_price"),
         growth.alias("avg_growth_pct"),
         F.max("monthly_units").alias("max_units"),
-    )
+    ]
+
+
+def market_kpis(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Means, totals and the largest unit count of each market, in one pass."""
+    return group(df, by).agg(*kpi_columns(df))
 
 
 def top_category(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -50,10 +55,6 @@ def count_share(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame
     )
 
 
-def _is_new(df: DataFrame) -> Column:
-    return F.col("newness").contains(NEW_LABEL_SHORT)
-
-
 def newness_revenue(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Revenue, count and mean revenue of new and of old listings."""
     split = df.groupBy(*by, "newness").agg(
@@ -69,15 +70,21 @@ def newness_revenue(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def new_product_stats(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Count, mean revenue and revenue share of new listings, one row."""
+def newcomer_columns(df: DataFrame) -> list[Column]:
+    """Aggregates over the listings flagged as new."""
+    is_new = F.col("newness").contains(NEW_LABEL_SHORT)
     revenue = F.col("monthly_revenue")
-    new_revenue = F.when(_is_new(df), revenue)
-    return group(df, by).agg(
-        F.count_if(_is_new(df)).alias("new_products"),
+    new_revenue = F.when(is_new, revenue)
+    return [
+        F.count_if(is_new).alias("new_products"),
         money_avg(new_revenue).alias("new_avg_revenue"),
         share_of(money_sum(new_revenue), money_sum(revenue)).alias("new_share_pct"),
-    )
+    ]
+
+
+def new_product_stats(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Count, mean revenue and revenue share of new listings, one row."""
+    return group(df, by).agg(*newcomer_columns(df))
 
 
 def hot_listing_months(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -92,22 +99,27 @@ def hot_listing_months(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def rating_columns(df: DataFrame) -> list[Column]:
+    """Aggregates over ratings and reviews; 0 for a column that is absent."""
+    rating, reviews, low = F.lit(0.0), F.lit(0.0), F.lit(0)
+    if "rating" in df.columns:
+        rating = F.avg("rating")
+        low = F.count_if(F.col("rating") < LOW_RATING)
+    if "rating_count" in df.columns:
+        reviews = F.avg("rating_count")
+    return [
+        rating.alias("avg_rating"),
+        reviews.alias("avg_reviews"),
+        share_of(low, F.count(F.lit(1))).alias("low_rating_pct"),
+    ]
+
+
 def rating_quality(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean rating, mean review count and share of poorly rated products.
 
     Products without a rating stay in the denominator of the share.
     """
-    have_rating = "rating" in df.columns
-    rating = F.avg("rating") if have_rating else F.lit(0.0)
-    low = (
-        F.count_if(F.col("rating") < LOW_RATING) if have_rating else F.lit(0)
-    )
-    reviews = F.avg("rating_count") if "rating_count" in df.columns else F.lit(0.0)
-    return group(df, by).agg(
-        rating.alias("avg_rating"),
-        reviews.alias("avg_reviews"),
-        share_of(low, F.count(F.lit(1))).alias("low_rating_pct"),
-    )
+    return group(df, by).agg(*rating_columns(df))
 
 
 def coverage(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:

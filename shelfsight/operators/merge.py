@@ -31,7 +31,8 @@ def merge_history(
     nothing. The join is written as its matched and its unmatched part, because
     adaptive execution splits a hot id on either side of an inner join but only
     on the left side of an outer one. Both parts read the same shuffled
-    listings, and the second needs nothing but the ids of the history.
+    listings, the second needs nothing but the ids of the history, and listings
+    without an id pass by unshuffled.
     """
     if key not in history.columns:
         raise ValueError(f"the history table has no {key!r} column")
@@ -43,7 +44,10 @@ def merge_history(
         return df.toDF(*[c + suffix if c in shared else c for c in df.columns])
 
     left, right = renamed(listings, suffixes[0]), renamed(history, suffixes[1])
-    matched = left.join(right, key)
-    ids = right.select(key).where(F.col(key).isNotNull()).distinct()
-    unmatched = left.join(ids, key, "left_anti")
-    return matched.unionByName(unmatched, allowMissingColumns=True)
+    has_id = F.col(key).isNotNull()
+    keyed, right = left.where(has_id), right.where(has_id)
+    matched = keyed.join(right, key)
+    unmatched = keyed.join(right.select(key).distinct(), key, "left_anti")
+    return matched.unionByName(
+        unmatched.unionByName(left.where(~has_id)), allowMissingColumns=True
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shelfsight.operators.attributes import top_attribute_values
 from shelfsight.operators.brand import concentration, top_brands
 from shelfsight.operators.common import attach, group
-from shelfsight.operators.kpi import market_kpis, new_product_stats, rating_quality
+from shelfsight.operators.kpi import kpi_columns, newcomer_columns, rating_columns
 from shelfsight.operators.prices import price_tiers
 
 BRIEF_BRANDS = 5
@@ -27,24 +27,29 @@ def _listed(rows: DataFrame, text, name: str, by: Sequence[str]) -> DataFrame:
 def market_brief(
     df: DataFrame, attribute: str | None = None, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Totals, concentration, ratings, newcomers, price tiers and attributes."""
+    """Totals, concentration, ratings, newcomers, price tiers and attributes.
+
+    Everything that is one number of the market comes from a single
+    aggregation; brands, prices and attributes each add one grouping of their
+    own. Persist the listings first if they are costly to compute.
+    """
+    headline = [*kpi_columns(df), *rating_columns(df)]
+    dropped = ["avg_units", "avg_revenue", "avg_growth_pct", "max_units"]
+    if "newness" in df.columns:
+        headline += newcomer_columns(df)
+    brief = group(df, by).agg(*headline).drop(*dropped)
+
     brands = top_brands(df, BRIEF_BRANDS, by).withColumn("key", F.col("brand"))
     brand_text = F.format_string("%s(%.1f%%)", "brand", "share_pct")
     parts = [
         concentration(df, (BRIEF_BRANDS,), by).drop("total_revenue"),
         _listed(brands, brand_text, "top_brands", by),
-        rating_quality(df, by),
         price_tiers(df, by),
     ]
-    if "newness" in df.columns:
-        parts.append(new_product_stats(df, by))
     if attribute is not None and attribute in df.columns:
         values = top_attribute_values(df, attribute, BRIEF_ATTRIBUTES, by)
         values = values.withColumn("key", F.col("attr"))
         parts.append(_listed(values, F.col("attr"), "top_attributes", by))
-    brief = market_kpis(df, by).select(
-        *by, "products", "total_units", "total_revenue", "avg_price"
-    )
     for part in parts:
         brief = attach(brief, part, by)
     return brief
