@@ -71,6 +71,9 @@ def attribute_price_box(
         numeric = is_numeric_attribute(df, attribute)
     prepared = prepare_attribute(df, attribute, numeric)
     leaders = top_attributes(df, attribute, numeric, by).select(*by, "attr")
+    if not by:
+        # A limit keeps this at 50 rows or fewer.
+        leaders = F.broadcast(leaders)
     prices = histogram(
         prepared.join(leaders, [*by, "attr"], "left_semi"),
         cents(F.col("price")),

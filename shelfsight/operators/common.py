@@ -30,7 +30,11 @@ def attach(df: DataFrame, stats: DataFrame, by: Sequence[str] = ()) -> DataFrame
     if by:
         return df.join(stats, list(by), "left")
     row = stats.select(F.struct(*added).alias("row")).scalar()
-    return df.select("*", *[row.getField(c).alias(c) for c in added])
+    # Named once and then taken apart, so that the subquery is planned once.
+    return df.withColumn("_row", row).select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        *[F.col("_row").getField(c).alias(c) for c in added],
+    )
 
 
 def group(df: DataFrame, by: Sequence[str] = ()):

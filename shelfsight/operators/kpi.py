@@ -9,7 +9,14 @@ from pyspark.sql import functions as F
 
 from shelfsight.config import LOW_RATING, NEW_LABEL_SHORT
 from shelfsight.functions.numbers import share_of
-from shelfsight.operators.common import attach, group, money_avg, money_sum, top_n
+from shelfsight.operators.common import (
+    attach,
+    group,
+    histogram,
+    money_avg,
+    money_sum,
+    top_n,
+)
 
 
 def kpi_columns(df: DataFrame) -> list[Column]:
@@ -88,14 +95,18 @@ def new_product_stats(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def hot_listing_months(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Listing months of products that sell more than the market's mean."""
-    mean = group(df, by).agg(F.avg("monthly_units").alias("_mean"))
+    """Listing months of products that sell more than the market's mean.
+
+    Works on counts per month and unit number, so no listing is shuffled.
+    """
+    counts = histogram(df, F.col("monthly_units"), [*by, "listed_month"])
+    mean = F.try_divide(F.sum(F.col("value") * F.col("n")), F.sum("n"))
     return (
-        attach(df.select(*by, "listed_month", "monthly_units"), mean, by)
-        .where(F.col("monthly_units") > F.col("_mean"))
+        attach(counts, group(counts, by).agg(mean.alias("_mean")), by)
+        .where(F.col("value") > F.col("_mean"))
         .where(F.col("listed_month").isNotNull())
         .groupBy(*by, "listed_month")
-        .agg(F.count(F.lit(1)).alias("products"))
+        .agg(F.sum("n").alias("products"))
     )
 
 
@@ -172,6 +183,13 @@ def distinct_brands(df: DataFrame) -> DataFrame:
     return df.select("brand").distinct().orderBy("brand")
 
 
-def brand_filter(df: DataFrame, brands: Sequence[str] = ()) -> DataFrame:
-    """Rows of the chosen brands; no choice keeps all."""
+def brand_filter(
+    df: DataFrame, brands: Sequence[str] | DataFrame = ()
+) -> DataFrame:
+    """Rows of the chosen brands; no choice keeps all.
+
+    A long choice is better given as a DataFrame with a ``brand`` column.
+    """
+    if isinstance(brands, DataFrame):
+        return df.join(brands.select("brand").distinct(), "brand", "left_semi")
     return df.where(F.col("brand").isin(*brands)) if brands else df

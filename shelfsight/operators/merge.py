@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfsight.functions.numbers import strip
+from shelfsight.functions.text import SPACES
 
 
 def fill_parent(history: DataFrame) -> DataFrame:
@@ -13,7 +14,7 @@ def fill_parent(history: DataFrame) -> DataFrame:
     if "parent_asin" not in history.columns:
         return history
     parent = F.col("parent_asin")
-    blank = parent.isNull() | (strip(parent) == "")
+    blank = parent.isNull() | ~parent.rlike(rf"[^{SPACES}]")
     return history.withColumn(
         "parent_asin", F.when(blank, F.col("asin")).otherwise(parent)
     )
@@ -36,16 +37,19 @@ def merge_history(
     """
     if key not in history.columns:
         raise ValueError(f"the history table has no {key!r} column")
-    listings = listings.withColumn(key, strip(F.col(key)))
-    history = fill_parent(history.withColumn(key, strip(F.col(key))))
+    # Trimmed ids are declared never NULL; otherwise each side of each join
+    # would trim once more just to test for NULL.
+    trimmed = F.coalesce(strip(F.col(key)), F.lit(""))
+    has_id = F.col(key).isNotNull()
     shared = (set(listings.columns) & set(history.columns)) - {key}
 
     def renamed(df: DataFrame, suffix: str) -> DataFrame:
         return df.toDF(*[c + suffix if c in shared else c for c in df.columns])
 
-    left, right = renamed(listings, suffixes[0]), renamed(history, suffixes[1])
-    has_id = F.col(key).isNotNull()
-    keyed, right = left.where(has_id), right.where(has_id)
+    left = renamed(listings, suffixes[0])
+    keyed = left.where(has_id).withColumn(key, trimmed)
+    history = fill_parent(history.where(has_id).withColumn(key, trimmed))
+    right = renamed(history, suffixes[1])
     matched = keyed.join(right, key)
     unmatched = keyed.join(right.select(key).distinct(), key, "left_anti")
     return matched.unionByName(

@@ -122,3 +122,9 @@ def size_leaders(df: DataFrame, n: int = 10, by: Sequence[str] = ()) -> DataFram
     leaders = top_n(df, [F.desc("units"), F.asc("asin")], n, by)
     shown = [c for c in ("asin", "title") if c in df.columns]
     return leaders.select(*by, *shown, "units", "est_revenue", *SIDES)
+
+
+def leader_bound(leaders: DataFrame) -> DataFrame:
+    """Largest unit count among the leaders, 100 when there are none."""
+    bound = F.coalesce(F.max("units").cast("bigint"), F.lit(100).cast("bigint"))
+    return leaders.agg(bound.alias("max_units"))

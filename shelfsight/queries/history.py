@@ -426,6 +426,16 @@ def size_leaders(spark, sf_dir):
     return sizes.size_leaders(_sized(spark, sf_dir))
 
 
+@query(
+    "size_leader_bound",
+    with_tables("listings")
+    + _SIZED
+    + """SELECT CAST(COALESCE(MAX(units), 100) AS BIGINT) AS max_units FROM sized""",
+)
+def size_leader_bound(spark, sf_dir):
+    return sizes.leader_bound(sizes.size_leaders(_sized(spark, sf_dir)))
+
+
 @query(
     "size_scatter",
     with_tables("listings")

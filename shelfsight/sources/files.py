@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
@@ -29,6 +30,19 @@ def blank_to_null(df: DataFrame) -> DataFrame:
     )
 
 
+def without_positions(columns: Sequence[str]) -> list[str]:
+    """Undo the position numbers the reader appends to repeated headers."""
+    bases = [
+        name[: -len(str(i))] if name.endswith(str(i)) else None
+        for i, name in enumerate(columns)
+    ]
+    repeats = Counter(base.lower() for base in bases if base is not None)
+    return [
+        base if base is not None and repeats[base.lower()] > 1 else name
+        for name, base in zip(columns, bases, strict=True)
+    ]
+
+
 def read_csv(
     spark: SparkSession,
     paths: str | Sequence[str],
@@ -46,10 +60,10 @@ def read_csv(
         .option("encoding", encoding)
         .option("escape", '"')
         .option("multiLine", multi_line)
-        .option("enforceSchema", False)
         .csv(paths)
     )
-    return blank_to_null(dedupe_headers(trim_headers(raw)))
+    named = trim_headers(raw.toDF(*without_positions(raw.columns)))
+    return blank_to_null(dedupe_headers(named))
 
 
 def file_kinds(
@@ -62,12 +76,13 @@ def file_kinds(
     file comes back.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    # Latin-1 maps each byte to one character, so nothing is lost on the way.
-    lines = spark.read.option("encoding", "ISO-8859-1").text(paths)
-    as_bytes = F.encode("value", "ISO-8859-1").cast("string")
-    quotes = F.length("value") - F.length(F.translate("value", '"', ""))
+    # The text reader passes bytes through as they are. Bytes of a GB18030
+    # character are never a quote or a line break.
+    lines = spark.read.text(paths)
+    without = F.replace("value", F.lit('"'), F.lit(""))
+    quotes = F.octet_length("value") - F.octet_length(without)
     per_file = lines.groupBy(F.col("_metadata.file_path").alias("path")).agg(
-        F.bool_and(F.is_valid_utf8(as_bytes)).alias("is_utf8"),
+        F.bool_and(F.is_valid_utf8("value")).alias("is_utf8"),
         F.bool_or(quotes % 2 == 1).alias("multi_line"),
     )
     kinds: dict[tuple[str, bool], list[str]] = {}
