@@ -78,6 +78,12 @@ def money_avg(c: Column) -> Column:
     return F.try_divide(F.sum(cents(c)) / 100, F.count(c))
 
 
+def rounded_avg(c: Column, digits: int) -> Column:
+    """Mean rounded half to even; summed as decimals, so in any row order."""
+    exact = F.avg(c.try_cast("decimal(18,6)"))
+    return F.bround(exact, digits).cast("double")
+
+
 def top_n(
     df: DataFrame, order: Sequence[Column], n: int, by: Sequence[str] = ()
 ) -> DataFrame:

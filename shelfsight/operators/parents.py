@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shelfsight.config import INDEPENDENT_PARENT, UNKNOWN, UNKNOWN_TITLE
 from shelfsight.functions.bands import price_band
 from shelfsight.functions.text import core_title
-from shelfsight.operators.common import group
+from shelfsight.operators.common import group, rounded_avg
 from shelfsight.sources.headers import existing, first_existing
 
 PARENT_COLUMNS = ("parent_asin", "Parent ASIN", "父ASIN", "Parent", "父体")
@@ -59,9 +59,9 @@ def parent_stats(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         "asin": F.count("asin").alias("variants"),
         "monthly_units": F.coalesce(F.sum("monthly_units"), F.lit(0)).alias("units"),
         "category_rank": F.min("category_rank").alias("best_rank"),
-        "rating": F.bround(F.avg("rating"), 2).alias("avg_rating"),
+        "rating": rounded_avg(F.col("rating"), 2).alias("avg_rating"),
         "rating_count": F.sum("rating_count").alias("reviews"),
-        "oos_90": F.bround(F.avg("oos_90"), 2).alias("avg_oos"),
+        "oos_90": rounded_avg(F.col("oos_90"), 2).alias("avg_oos"),
     }
     return df.groupBy(*by, "parent_id").agg(
         *[rules[c] for c in existing(df, rules)]
