@@ -61,11 +61,13 @@ def with_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     A filter on a plain computed column moves below the projection and carries
     a copy of the expression with it, and of every expression that one reads.
     For long text parsing that repeats the work and outgrows generated code.
-    A filter on the output of a generator stays where it is.
+    A filter on the output of a generator stays where it is, so the finished
+    values pass through one.
     """
-    row = F.struct(*[c.alias(name) for name, c in columns.items()])
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
-    return df.select(*kept, F.inline(F.array(row)))
+    computed = df.withColumns(columns)
+    kept = [F.col(f"`{c}`") for c in computed.columns if c not in columns]
+    values = F.struct(*[F.col(f"`{c}`") for c in columns])
+    return computed.select(*kept, F.inline(F.array(values)))
 
 
 def money_sum(c: Column) -> Column:

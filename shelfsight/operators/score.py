@@ -73,7 +73,7 @@ def opportunity_score(
     work is one projection: no shuffle and no Python per row.
     """
     inputs = _inputs(df, columns or {}, legacy_sales)
-    prepared = with_once(df, {f"_{k}": c for k, c in inputs.items()})
+    prepared = df.withColumns({f"_{k}": c for k, c in inputs.items()})
     sales, drops, price = F.col("_sales"), F.col("_drops"), F.col("_price")
     reviews, rating, oos = F.col("_reviews"), F.col("_rating"), F.col("_oos")
     share, offers = F.col("_share"), F.col("_offers")
