@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from shelfsight.functions.numbers import cents
 from shelfsight.operators.common import (
-    group,
     histogram,
     money_avg,
     money_sum,

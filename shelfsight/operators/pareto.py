@@ -8,13 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfsight.functions.numbers import cents, share_of
-from shelfsight.operators.common import (
-    attach,
-    group,
-    histogram,
-    running_totals,
-    value_at,
-)
+from shelfsight.operators.common import group, histogram, running_totals
 from shelfsight.session import ensure_checkpoint_dir
 
 # Copies of one row are numbered in arrays of at most this length.
