@@ -68,8 +68,8 @@ def read_csv(
 
 def file_kinds(
     spark: SparkSession, paths: str | Sequence[str]
-) -> dict[tuple[str, bool], list[str]]:
-    """Paths by (charset, has line breaks inside quotes).
+) -> dict[tuple[str, bool, str], list[str]]:
+    """Paths by (charset, has line breaks inside quotes, header fingerprint).
 
     Files that are not valid UTF-8 are GB18030, which also reads every GBK
     file. The check runs on the executors line by line; only one short row per
@@ -78,35 +78,39 @@ def file_kinds(
     paths = [paths] if isinstance(paths, str) else list(paths)
     # The text reader passes bytes through as they are. Bytes of a GB18030
     # character are never a quote or a line break.
-    lines = spark.read.text(paths)
+    lines = spark.read.text(paths).select(
+        "value",
+        F.col("_metadata.file_path").alias("path"),
+        # Ids grow along a split, so the smallest pair is the header line.
+        F.struct(
+            "_metadata.file_block_start", F.monotonically_increasing_id().alias("line")
+        ).alias("place"),
+    )
     without = F.replace("value", F.lit('"'), F.lit(""))
     quotes = F.octet_length("value") - F.octet_length(without)
-    per_file = lines.groupBy(F.col("_metadata.file_path").alias("path")).agg(
+    per_file = lines.groupBy("path").agg(
         F.bool_and(F.is_valid_utf8("value")).alias("is_utf8"),
         F.bool_or(quotes % 2 == 1).alias("multi_line"),
+        F.md5(F.min_by("value", "place").cast("binary")).alias("header"),
     )
-    kinds: dict[tuple[str, bool], list[str]] = {}
+    kinds: dict[tuple[str, bool, str], list[str]] = {}
     for row in per_file.collect():
         charset = "UTF-8" if row.is_utf8 else "GB18030"
-        kinds.setdefault((charset, row.multi_line), []).append(row.path)
+        kinds.setdefault((charset, row.multi_line, row.header), []).append(row.path)
     return kinds
 
 
 def read_exports(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Exports of mixed charsets and layouts as one DataFrame of text columns.
 
-    Files are read one header layout at a time, so that a column is found by
-    its name and not by its place.
+    Files with the same header are read together, so that a column is found by
+    its name and not by its place. Use ``read_csv`` where charset and layout
+    are known; it saves the pass that finds them out.
     """
-    frames = []
-    for (charset, multi_line), files in sorted(file_kinds(spark, paths).items()):
-        layouts: dict[tuple[str, ...], list[str]] = {}
-        for path in sorted(files):
-            header = tuple(read_csv(spark, path, charset, multi_line).columns)
-            layouts.setdefault(header, []).append(path)
-        frames += [
-            read_csv(spark, group, charset, multi_line) for group in layouts.values()
-        ]
+    frames = [
+        read_csv(spark, sorted(files), charset, multi_line)
+        for (charset, multi_line, _), files in sorted(file_kinds(spark, paths).items())
+    ]
     if not frames:
         return read_csv(spark, paths)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
