@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterable, Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,7 +98,9 @@ def file_kinds(
     kinds: dict[tuple[str, bool, str], list[str]] = {}
     for row in per_file.collect():
         charset = "UTF-8" if row.is_utf8 else "GB18030"
-        kinds.setdefault((charset, row.multi_line, row.header), []).append(row.path)
+        # The path comes percent-encoded, and the reader expands wildcards.
+        path = re.sub(r"([\[\]{}*?])", r"\\\1", unquote(row.path))
+        kinds.setdefault((charset, row.multi_line, row.header), []).append(path)
     return kinds
 
 

@@ -37,6 +37,12 @@ def test_mixed_files_union_by_name(spark, tmp_path):
     assert got == {"B1": "牌", "B2": "子", "B3": "丙", "B4": "two\nlines"}
 
 
+def test_odd_file_names(spark, tmp_path):
+    for i, name in enumerate(["a b", "列表", "p%20q+r", "x[1]{2}"]):
+        write(tmp_path / f"{name}.csv", f"ASIN\nB{i}\n")
+    assert rows(files.read_exports(spark, str(tmp_path))) == [("B0",), ("B1",), ("B2",), ("B3",)]
+
+
 def test_headers_that_differ_in_case(spark, tmp_path):
     df = files.read_csv(spark, write(tmp_path / "a.csv", "ASIN,asin\n1,2\n"))
     assert df.columns == ["ASIN", "asin.1"]
