@@ -15,6 +15,7 @@ from shelfsight.operators.common import (
     number_in,
     quantiles_of,
     top_n,
+    with_once,
 )
 
 MAX_NUMERIC_GROUPS = 50
@@ -30,9 +31,9 @@ def is_numeric_attribute(df: DataFrame, attribute: str) -> bool:
 def prepare_attribute(df: DataFrame, attribute: str, numeric: bool) -> DataFrame:
     """Add ``attr``: whole positive numbers (half to even), or the text."""
     if numeric:
-        rounded = df.withColumn("attr", F.bround(number_in(df, attribute), 0))
+        rounded = with_once(df, {"attr": F.bround(number_in(df, attribute), 0)})
         return rounded.where(F.col("attr") > 0)
-    named = df.withColumn("attr", F.col(f"`{attribute}`").cast("string"))
+    named = with_once(df, {"attr": F.col(f"`{attribute}`").cast("string")})
     return named.where(F.col("attr").isNotNull())
 
 
