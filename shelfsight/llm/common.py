@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shelfsight.session import ensure_checkpoint_dir
@@ -39,6 +40,25 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in that folder: its true size is known when a join is planned."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def running(df: DataFrame, keys: list[str], group: str, order: list, value: str, to: str) -> DataFrame:
+    """df with the sum of ``value`` over the rows before, per key; ``group`` cuts a key's order into short runs."""
+    totals = df.groupBy(*keys, group).agg(F.sum(value).alias("_total"))
+    over = Window.partitionBy(*keys).orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*keys, group, F.coalesce(F.sum("_total").over(over), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*keys, group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = df.join(starts, [*keys, group])
+    return joined.withColumn(to, F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_start")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -14,10 +14,10 @@ from there. Slots are ranked in the same way.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfsight.llm.common import WORD, durable
+from shelfsight.llm.common import WORD, durable, running
 
 BLOCK_WORDS = 128
 WEIGHTS = (1, 2, 3)
@@ -55,16 +55,6 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIG
     return out
 
 
-def _running(df: DataFrame, keys: list[str], group: str, order: list, value: str, to: str) -> DataFrame:
-    """df with the sum of ``value`` over the rows before, per key; ``group`` cuts a key's order into short runs."""
-    totals = df.groupBy(*keys, group).agg(F.sum(value).alias("_total"))
-    over = Window.partitionBy(*keys).orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*keys, group, F.coalesce(F.sum("_total").over(over), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(*keys, group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = df.join(starts, [*keys, group])
-    return joined.withColumn(to, F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_start")
-
-
 def place_of(seed: int) -> Column:
     """A row's place in the shuffled order of its source."""
     return F.xxhash64(F.lit(seed), "doc_id", F.coalesce("text", F.lit("")))
@@ -132,11 +122,11 @@ class Mix:
         slots = spark.range(self.slots).select(
             F.col("id").alias("slot"), pick.alias("sid"), F.floor(F.col("id") / SLOT_RANGE).alias("run"), F.lit(1).alias("one")
         )
-        return _running(slots, ["sid"], "run", ["slot"], "one", "block").select("slot", "sid", "block")
+        return running(slots, ["sid"], "run", ["slot"], "one", "block").select("slot", "sid", "block")
 
     def pieces(self) -> DataFrame:
         """(slot, sid, block, row, doc_id, source, place, size, lap, start, words): which words of a document a slot holds."""
-        begun = _running(self.documents, ["sid"], "range", ["place", "doc_id", "row"], "size", "before")
+        begun = running(self.documents, ["sid"], "range", ["place", "doc_id", "row"], "size", "before")
         size, b = F.col("source_size"), self.block_words
         laps = begun.where("size > 0").withColumn("lap", F.explode(F.sequence(F.lit(0), F.lit(self.most - 1))))
         laps = laps.withColumn("from", F.col("before") + F.col("lap") * size)
