@@ -15,7 +15,7 @@ def _starred(edges: DataFrame) -> DataFrame:
     least = least.select(F.col("u").alias("node"), F.least("u", "m").alias("m"))
     larger = both.where("v > u")
     out = larger.join(least, larger.u == least.node).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return out.where("u > v").distinct()
+    return out.where("u > v")
 
 
 def _shrunk(edges: DataFrame) -> DataFrame:

@@ -1,12 +1,14 @@
 """Near duplicates by Order MinHash, verified by banded alignment.
 
 A text is a sequence of shingles of five words. The similarity of two texts is
-that of the best alignment of their sequences: shared shingles, in order,
-divided by all shingles of both. It never exceeds the Jaccard similarity of the
-occurrence-labelled shingles and falls when passages change places.
-
-Order MinHash: under each of ``sketches`` hash functions the ``sample``
-occurrence-labelled shingles of least hash are taken and hashed in their text
+the lesser of two: that of the best alignment of their sequences (shared
+shingles, in order, divided by all shingles of both), and the Jaccard similarity
+of their distinct shingles. The first never exceeds the Jaccard similarity of
+the occurrence-labelled shingles and falls when passages change places; the
+second keeps apart texts that share little but one passage repeated often.
+
+Order MinHash: under each of ``sketches`` hash functions ``sample``
+occurrence-labelled shingles are taken by their hashes and hashed in their text
 order. Texts with an equal sketch share a bucket. In a bucket the member that
 shares most buckets with others is aligned with all members, and every member
 that is then outside the leader's component is aligned with all members of
@@ -15,27 +17,31 @@ n near copies costs about n alignments, and no link between members of a
 bucket that would join two components is missed.
 
 At a similarity of 0.8, two texts of equal order share a bucket with a
-probability of 1 - (1 - 0.8^3)^12 > 0.9998.
+probability of 1 - (1 - 0.8^5)^24 > 0.9999.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfsight.llm.common import U, WordHashes, batches, durable, mixed, shingles, small_batches, text_of
 from shelfsight.llm.components import components
 
-SKETCHES = 12
-SAMPLE = 3
+SKETCHES = 24
+SAMPLE = 5
 SHINGLE = 5
 SIMILARITY = 0.8
+LEADERS = 8
+# What one round may align in a bucket: all its members with 32 strays, or this many pairs.
 STRAYS_AT_ONCE = 32
+PAIRS_AT_ONCE = 100_000
 
 
 def words_of(text: str) -> list[str]:
@@ -54,19 +60,29 @@ def labelled(items: np.ndarray) -> np.ndarray:
 
 
 def order_minhash(items: np.ndarray, sketches: int, sample: int) -> np.ndarray:
-    """One 64-bit sketch for each hash function."""
+    """One 64-bit sketch for each hash function.
+
+    The sample is the ``sample`` - 1 least hashes of all labelled shingles and
+    the greatest of the distinct ones, so that a passage repeated hundreds of
+    times doesn't make up a sample by itself.
+    """
     named = labelled(items)
-    sample = min(sample, len(named))
-    out = np.empty(sketches, dtype=U)
-    for k in range(sketches):
-        h = mixed(named, k + 1)
-        at = np.argpartition(h, sample - 1)[:sample] if sample < len(h) else np.arange(len(h))
-        at.sort()
-        value = U(k + 1)
-        for x in named[at]:
-            value = mixed(np.array([value ^ x], dtype=U), 99)[0]
-        out[k] = value
-    return out
+    once = np.flatnonzero(named == items)
+    least = min(max(sample - 1, 1), len(named))
+    out = []
+    # A long text takes its hash functions a few at a time, to bound the table of hashes.
+    step = max(1, 1_000_000 // len(named))
+    for low in range(0, sketches, step):
+        own = np.arange(low + 1, min(low + step, sketches) + 1, dtype=U)
+        table = mixed(named[None, :] + mixed(own)[:, None])
+        at = np.argpartition(table, least - 1, axis=1)[:, :least]
+        at = np.column_stack([at, once[table[:, once].argmax(axis=1)]])
+        at.sort(axis=1)
+        value = own
+        for j in range(at.shape[1]):
+            value = mixed(value ^ named[at[:, j]], 99)
+        out.append(value)
+    return np.concatenate(out)
 
 
 def aligned(a: np.ndarray, b: np.ndarray, least: int) -> int:
@@ -110,10 +126,14 @@ def aligned(a: np.ndarray, b: np.ndarray, least: int) -> int:
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    """Whether shared / (all of both) reaches the similarity."""
+    """Whether distinct shared / distinct of both and aligned / all of both reach the similarity."""
     n, m = len(a), len(b)
     if not n or not m or min(n, m) < similarity * max(n, m):
         return False
+    one, other = np.unique(a), np.unique(b)
+    shared = len(np.intersect1d(one, other, assume_unique=True))
+    if shared < similarity * (len(one) + len(other) - shared) - 1e-9:
+        return False
     least = math.ceil(similarity * (n + m) / (1 + similarity) - 1e-9)
     return aligned(a, b, least) >= least
 
@@ -135,19 +155,26 @@ def _sketched(df: DataFrame, sketches: int, sample: int, shingle: int) -> DataFr
     return df.mapInArrow(run, "doc_id long, copy binary, size long, sketches array<long>")
 
 
-def _verified(pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (u, v, left, right) whose texts are similar."""
+def _items(df: DataFrame, shingle: int) -> DataFrame:
+    """(copy, items): the hashed shingles of each text in order, 8 bytes each."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        last: tuple = (None, None)
         for batch in batches(frames):
-            keep = []
-            right = batch.column("right").to_pylist()
-            for i, left in enumerate(batch.column("left").to_pylist()):
-                if right[i] != last[0]:
-                    last = (right[i], shingles(hashes.of(words_of(right[i])), shingle))
-                keep.append(similar(shingles(hashes.of(words_of(left)), shingle), last[1], similarity))
+            texts = batch.column("text").to_pylist()
+            items = [shingles(hashes.of(words_of(t)), shingle).tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("copy"), pa.array(items, pa.binary())], ["copy", "items"])
+
+    return df.select("copy", "text").mapInArrow(run, "copy binary, items binary")
+
+
+def _verified(pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v, left, right) whose items are similar."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(frames):
+            sides = zip(batch.column("left").to_pylist(), batch.column("right").to_pylist())
+            keep = [similar(np.frombuffer(x, dtype=U), np.frombuffer(y, dtype=U), similarity) for x, y in sides]
             yield pa.RecordBatch.from_arrays(
                 [c.filter(pa.array(keep)) for c in (batch.column("u"), batch.column("v"))], ["u", "v"]
             )
@@ -182,70 +209,65 @@ def near_duplicate_classes(
         F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.first("sketches").alias("sketches")
     )
     members = classes.select("copy", "size", F.explode("sketches").alias("bucket")).distinct()
-    counts = members.groupBy("bucket").count().where("count > 1")
+    counts = members.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     # How many others a member meets, over all its buckets: the centre of a star comes first.
     shared = members.join(counts, "bucket")
-    degree = shared.groupBy("copy").agg(F.sum("count").alias("degree"))
+    degree = shared.groupBy("copy").agg(F.sum("members").alias("degree"))
     shared = durable(
         shared.join(degree, "copy").select(
-            "bucket", "copy", "size", F.struct((-F.col("degree")).alias("d"), F.col("copy").alias("c")).alias("rank")
+            "bucket", "copy", "size", "members", F.struct((-F.col("degree")).alias("d"), F.col("copy").alias("c")).alias("rank")
         )
     )
-    leaders = shared.groupBy("bucket").agg(F.min("rank").alias("lead"), F.min_by("size", "rank").alias("lead_size"))
-    leaders = durable(leaders.select("bucket", F.col("lead.c").alias("leader"), "lead_size"))
+    order = Window.partitionBy("bucket").orderBy("rank")
+    leaders = shared.withColumn("n", F.row_number().over(order)).where(F.col("n") <= LEADERS)
+    leaders = durable(leaders.select("bucket", "n", F.col("copy").alias("s"), F.col("size").alias("s_size")))
 
     # Joined on both keys, so that the rows of a large group of copies are dealt out.
     chosen = classes.join(shared.select("copy").distinct(), "copy").select(
         "copy", F.coalesce("first_id", F.lit(-1)).alias("id")
     )
     wanted = texts.withColumn("id", F.coalesce("doc_id", F.lit(-1))).join(chosen, ["copy", "id"], "left_semi")
-    wanted = durable(wanted.groupBy("copy").agg(F.first("text").alias("text")))
+    wanted = durable(_items(wanted.groupBy("copy").agg(F.first("text").alias("text")), shingle))
+
+    def met(one: DataFrame, other: DataFrame, apart: Column) -> DataFrame:
+        """Pairs of ``one.copy`` and ``other.s`` in a bucket, of sizes that can be similar."""
+        alike = F.least("size", "s_size") >= similarity * F.greatest("size", "s_size")
+        rows = one.join(other.withColumnRenamed("bucket", "b"), (F.col("bucket") == F.col("b")) & apart & alike)
+        return rows.select(F.least("copy", "s").alias("u"), F.greatest("copy", "s").alias("v")).distinct()
 
     def checked(pairs: DataFrame) -> DataFrame:
-        left = wanted.select(F.col("copy").alias("u"), F.col("text").alias("left"))
-        right = wanted.select(F.col("copy").alias("v"), F.col("text").alias("right"))
-        return durable(_verified(pairs.join(left, "u").join(right, "v"), shingle, similarity))
-
-    def sized(one: str, other: str) -> F.Column:
-        return F.least(one, other) >= similarity * F.greatest(one, other)
-
-    first = (
-        shared.join(leaders, "bucket")
-        .where((F.col("copy") != F.col("leader")) & sized("size", "lead_size"))
-        .select(F.least("copy", "leader").alias("u"), F.greatest("copy", "leader").alias("v"))
-        .distinct()
-    )
-    links = checked(first)
+        left = wanted.select(F.col("copy").alias("u"), F.col("items").alias("left"))
+        right = wanted.select(F.col("copy").alias("v"), F.col("items").alias("right"))
+        return durable(_verified(pairs.join(left, "u").join(right, "v"), similarity))
+
+    done = durable(met(shared, leaders.where("n = 1"), F.col("copy") != F.col("s")))
+    roots = components(checked(done))
     settled = None
-    while True:
-        roots = components(links)
+    for turn in itertools.count():
         named = shared.join(roots, shared.copy == roots.node, "left").select(
-            "bucket", "copy", "size", "rank", F.coalesce("root", "copy").alias("root")
-        )
-        main = named.withColumnRenamed("root", "main").join(
-            leaders.select("bucket", F.col("leader").alias("copy")), ["bucket", "copy"], "left_semi"
-        )
-        strays = named.join(main.select("bucket", "main"), "bucket").where("root != main")
-        if settled is not None:
-            strays = strays.join(settled, ["bucket", "copy"], "left_anti")
-        order = Window.partitionBy("bucket").orderBy("rank")
-        strays = durable(
-            strays.withColumn("n", F.row_number().over(order))
-            .where(F.col("n") <= STRAYS_AT_ONCE)
-            .select("bucket", F.col("copy").alias("s"), F.col("size").alias("s_size"), F.col("root").alias("s_root"))
-        )
-        if strays.isEmpty():
-            break
-        pairs = (
-            named.join(strays, "bucket")
-            .where((F.col("root") != F.col("s_root")) & sized("size", "s_size"))
-            .select(F.least("copy", "s").alias("u"), F.greatest("copy", "s").alias("v"))
-            .distinct()
+            "bucket", "copy", "size", "members", "rank", F.coalesce("root", "copy").alias("root")
         )
-        links = durable(links.union(checked(pairs)))
-        done = strays.select("bucket", F.col("s").alias("copy"))
-        settled = done if settled is None else durable(settled.union(done))
-    roots = components(links)
+        main = leaders.where("n = 1").join(roots, leaders.s == roots.node, "left")
+        main = main.select("bucket", F.coalesce("root", "s").alias("main"))
+        strays = named.join(main, "bucket").where("root != main").drop("main")
+        others = leaders.where("n > 1")
+        if turn:
+            if settled is not None:
+                strays = strays.join(settled, ["bucket", "copy"], "left_anti")
+            most = F.greatest(F.lit(STRAYS_AT_ONCE), F.lit(PAIRS_AT_ONCE) / F.col("members"))
+            strays = strays.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
+            strays = durable(strays.select("bucket", F.col("copy").alias("s"), F.col("size").alias("s_size"), "root"))
+            if strays.isEmpty():
+                break
+            pairs = met(named, strays.withColumnRenamed("root", "s_root"), F.col("root") != F.col("s_root"))
+            now = strays.select("bucket", F.col("s").alias("copy"))
+            settled = now if settled is None else settled.union(now)
+        else:
+            pairs = met(strays, others, F.col("copy") != F.col("s"))
+        pairs = durable(pairs.join(done, ["u", "v"], "left_anti"))
+        done = done.union(pairs)
+        known = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        roots = components(known.union(checked(pairs)))
     named = classes.select("copy", "first_id").join(roots, classes.copy == roots.node, "left")
     named = named.select("copy", "first_id", F.coalesce("root", "copy").alias("root"))
     whole = named.groupBy("root").agg(
