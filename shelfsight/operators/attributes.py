@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfsight.functions.numbers import cents
@@ -51,14 +51,69 @@ def attribute_groups(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def _per_market(df: DataFrame, attribute: str, by: Sequence[str]) -> DataFrame:
+    """As ``prepare_attribute``, each market by its own values; ``attr`` is text.
+
+    ``_numeric`` says whether any value of the market reads as a number.
+    """
+    number = number_in(df, attribute)
+    kinds = df.groupBy(*by).agg(
+        F.coalesce(F.bool_or(number.isNotNull()), F.lit(False)).alias("_numeric")
+    )
+    kinds = kinds.toDF(*[f"_of_{c}" for c in by], "_numeric")
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    rows = df.withColumn("_number", F.bround(number, 0)).join(kinds, same)
+    whole = F.coalesce(
+        F.col("_number").try_cast("decimal(38,0)").cast("string"),
+        F.col("_number").cast("string"),
+    )
+    text = F.col(f"`{attribute}`").cast("string")
+    rows = rows.withColumn(
+        "attr", F.when(~F.col("_numeric"), text).when(F.col("_number") > 0, whole)
+    )
+    dropped = [f"_of_{c}" for c in by]
+    return rows.where(F.col("attr").isNotNull()).drop("_number", *dropped)
+
+
+def _leaders_per_market(
+    prepared: DataFrame, by: Sequence[str], most_numeric: int, most_texts: int
+) -> DataFrame:
+    groups = attribute_groups(prepared, [*by, "_numeric"])
+    value = F.when(F.col("_numeric"), F.col("attr").cast("double"))
+    order = [F.desc("revenue"), value.asc(), F.asc("attr")]
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    ranked = groups.withColumn("_place", place)
+    most = F.when(F.col("_numeric"), most_numeric).otherwise(most_texts)
+    return ranked.where(
+        (F.col("_place") <= max(most_numeric, most_texts)) & (F.col("_place") <= most)
+    ).drop("_place")
+
+
 def top_attributes(
-    df: DataFrame, attribute: str, numeric: bool | None = None, by: Sequence[str] = ()
+    df: DataFrame,
+    attribute: str,
+    numeric: bool | None = None,
+    by: Sequence[str] = (),
+    most_numeric: int = MAX_NUMERIC_GROUPS,
+    most_texts: int = MAX_TEXT_GROUPS,
 ) -> DataFrame:
-    """Leading attribute values: 50 numeric ones by value, or 15 texts."""
+    """Leading attribute values: ``most_numeric`` ones by value, or ``most_texts`` texts.
+
+    Without ``numeric`` each market is numeric if any of its own values reads as
+    a number; with ``by``, ``attr`` is then text in all markets.
+    """
+    if numeric is None and by:
+        leaders = _leaders_per_market(
+            _per_market(df, attribute, by), by, most_numeric, most_texts
+        )
+        value = F.when(F.col("_numeric"), F.col("attr").cast("double"))
+        return leaders.orderBy(*by, value, F.desc("revenue"), "attr").drop("_numeric")
     if numeric is None:
         numeric = is_numeric_attribute(df, attribute)
     groups = attribute_groups(prepare_attribute(df, attribute, numeric), by)
-    n = MAX_NUMERIC_GROUPS if numeric else MAX_TEXT_GROUPS
+    n = most_numeric if numeric else most_texts
     leaders = top_n(groups, [F.desc("revenue"), F.asc("attr")], n, by)
     return leaders.orderBy(*by, "attr") if numeric else leaders
 
@@ -66,19 +121,31 @@ def top_attributes(
 def attribute_price_box(
     df: DataFrame, attribute: str, numeric: bool | None = None, by: Sequence[str] = ()
 ) -> DataFrame:
-    """Price minimum, quartiles and maximum of each leading attribute value."""
-    if numeric is None:
-        numeric = is_numeric_attribute(df, attribute)
-    prepared = prepare_attribute(df, attribute, numeric)
-    leaders = top_attributes(df, attribute, numeric, by).select(*by, "attr")
+    """Price minimum, quartiles and maximum of each leading attribute value.
+
+    ``numeric`` and the type of ``attr`` are as in ``top_attributes``.
+    """
+    if numeric is None and by:
+        prepared = _per_market(df, attribute, by)
+        leaders = _leaders_per_market(prepared, by, MAX_NUMERIC_GROUPS, MAX_TEXT_GROUPS)
+        leaders = leaders.select(*by, "attr")
+    else:
+        if numeric is None:
+            numeric = is_numeric_attribute(df, attribute)
+        prepared = prepare_attribute(df, attribute, numeric)
+        leaders = top_attributes(df, attribute, numeric, by).select(*by, "attr")
     if not by:
         # A limit keeps this at 50 rows or fewer.
         leaders = F.broadcast(leaders)
-    prices = histogram(
-        prepared.join(leaders, [*by, "attr"], "left_semi"),
-        cents(F.col("price")),
-        [*by, "attr"],
-    )
+    prices = histogram(prepared, cents(F.col("price")), [*by, "attr"])
+    if by:
+        leaders = leaders.toDF(*[f"_of_{c}" for c in by], "_attr")
+        same = F.col("attr") == F.col("_attr")
+        for c in by:
+            same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+        prices = prices.join(leaders, same, "left_semi")
+    else:
+        prices = prices.join(leaders, "attr", "left_semi")
     box = quantiles_of(
         prices,
         {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 1.0},

@@ -81,8 +81,11 @@ def money_avg(c: Column) -> Column:
 
 
 def rounded_avg(c: Column, digits: int) -> Column:
-    """Mean rounded half to even; summed as decimals, so in any row order."""
-    exact = F.avg(c.try_cast("decimal(18,6)"))
+    """Mean rounded half to even; summed as decimals, so in any row order.
+
+    Holds for values below 10^32; a larger one is no number of any listing and is left out.
+    """
+    exact = F.avg(c.try_cast("decimal(38,6)"))
     return F.bround(exact, digits).cast("double")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfsight.config import LOW_RATING, NEW_LABEL_SHORT
-from shelfsight.functions.numbers import share_of
+from shelfsight.functions.numbers import first_number, share_of
 from shelfsight.operators.common import (
     attach,
     group,
@@ -146,18 +146,18 @@ def coverage(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
 def data_quality(
     df: DataFrame,
     growth_raw: str,
-    price_clean: str,
+    price_raw: str,
     by: Sequence[str] = (),
 ) -> DataFrame:
     """Row count, repeated ids, missing growth values and readable prices.
 
-    Growth is looked at as it was in the file; after cleaning it is never
-    missing. Rows without an id count as one id.
+    Growth and price are looked at as they were in the file; after cleaning
+    they are never missing. Rows without an id count as one id.
     """
     per_id = df.groupBy(*by, "asin").agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(F.col(growth_raw).isNull()).alias("no_growth"),
-        F.count(price_clean).alias("priced"),
+        F.count(first_number(F.col(price_raw))).alias("priced"),
     )
     totals = {
         "rows": F.sum("rows"),
@@ -173,9 +173,10 @@ def data_quality(
 def unreadable_sample(
     df: DataFrame, raw: str, clean: str, n: int = 10
 ) -> DataFrame:
-    """Up to ``n`` raw texts that could not be read as numbers."""
+    """The first ``n`` raw texts, by id, that could not be read as numbers."""
     bad = df.where(F.col(clean).isNull() & F.col(raw).isNotNull())
-    return bad.select(F.col(raw).cast("string").alias("raw_value")).limit(n)
+    found = bad.select("asin", F.col(raw).cast("string").alias("raw_value"))
+    return found.orderBy("asin", "raw_value").limit(n)
 
 
 def distinct_brands(df: DataFrame) -> DataFrame:

@@ -49,7 +49,8 @@ def listing_dashboard(
         charts["hot_listing_months"] = kpi.hot_listing_months(shared, by)
         charts["launch_timeline"] = listings.launch_timeline(shared, by)
     if attribute is not None:
-        numeric = attributes.is_numeric_attribute(shared, attribute)
+        # Markets beside each other decide in the plan, each for itself.
+        numeric = None if by else attributes.is_numeric_attribute(shared, attribute)
         charts["attribute"] = attributes.top_attributes(shared, attribute, numeric, by)
         charts["attribute_prices"] = attributes.attribute_price_box(
             shared, attribute, numeric, by

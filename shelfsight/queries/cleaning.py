@@ -364,21 +364,21 @@ def merge_orders_lines(spark, sf_dir):
   SELECT * FROM export WHERE brand = 'Brand#7')
 SELECT COUNT(*) AS rows, COUNT(*) - COUNT(DISTINCT trim(asin)) AS duplicate_ids,
   COUNT(*) - COUNT(growth_rate) AS missing_growth,
-  COUNT(CASE WHEN {_currency('price')} IS NOT NULL THEN 1 END) AS valid_prices
+  COUNT(CASE WHEN regexp_matches(CAST(price AS VARCHAR), '[0-9]') THEN 1 END) AS valid_prices
 FROM doubled""",
 )
 def data_quality(spark, sf_dir):
     df = export(spark, sf_dir)
     doubled = df.unionByName(df.where(F.col("brand") == "Brand#7"))
     cleaned = clean.clean_listings(doubled, AS_OF, keep_raw=True)
-    return kpi.data_quality(cleaned, "growth_rate_raw", "price")
+    return kpi.data_quality(cleaned, "growth_rate_raw", "price_raw")
 
 
 @query(
     "unreadable_price_sample",
     with_tables("listings")
-    + """SELECT price_curr_raw AS raw_value FROM listings
-WHERE regexp_extract(price_curr_raw, '([0-9])', 1) = '' LIMIT 10""",
+    + """SELECT asin, price_curr_raw AS raw_value FROM listings
+WHERE regexp_extract(price_curr_raw, '([0-9])', 1) = '' ORDER BY asin, raw_value LIMIT 10""",
 )
 def unreadable_price_sample(spark, sf_dir):
     raw = F.col("price_curr_raw")

@@ -429,61 +429,96 @@ SCORE_SCHEMA = (
 )
 
 
-def brute_score(r, c):
-    """The scoring rules for one row, as plain Python."""
-    asin, sales, drops, price, reviews, rating, oos, share, fba, fbm = r
-    sales, drops, price = float(sales or 0), drops or 0, price or 0
-    reviews = 9999 if reviews is None else reviews
-    rating, oos = rating or 0, oos or 0
-    tags = []
-    demand = fit = field = growth = 0
-    if sales > 0:
-        demand = min(100, sales / c.target_sales * 100)
-        tags += ["🔥月销1k+"] * (sales > 1000)
-    elif drops > 0:
-        demand = min(100, drops / 30 * 80)
-        tags += ["📉高频出单"] * (drops > 60)
-    if c.price_min <= price <= c.price_max:
-        fit = 100
-    elif price > 0:
-        fit = max(0, 100 - min(abs(price - c.price_min), abs(price - c.price_max)) * 3)
-        tags += ["⚠️低价"] * (price < 10)
-    if reviews < c.max_reviews:
-        field = 100 - reviews / c.max_reviews * 50
-        tags += ["✨新星"] * (reviews < 50)
-    penalty, known = 1.0, None if share is None else float(share.strip("%"))
-    if known is not None and known > 50:
-        penalty = 0.1 if known > 80 else 0.5
-        tags.append("🦖AMZ垄断")
-    if fba is not None and fbm is not None and 0 < fba + fbm < 5:
-        tags.append("👥卖家少")
-    if oos > 15:
-        growth += 40
-        tags.append(f"🚨缺货{int(oos)}%")
-    if (sales > c.target_sales * 0.5 or drops > 45) and 3.0 <= rating <= 3.9:
-        growth += 60
-        tags.append("🛠️改良机会")
-    total = demand * c.w_sales + fit * c.w_profit + field * penalty * c.w_comp + min(100, growth) * c.w_growth
-    return int(total / c.total_weight), " ".join(tags[:3])
-
-
-@pytest.mark.parametrize("config", [ScoreConfig(), APP_SCORE, ScoreConfig(0, 0, 0, 0)])
-def test_score_matches_rules(spark, config):
-    rng = random.Random(3)
-    pick = rng.choice
+# Inputs with the score and tags worked out by hand for the default settings.
+BY_HAND = [
+    # Demand: units first, rank drops only without units.
+    (dict(sales_text="150"), 15, ""),
+    (dict(sales_text="1001"), 30, "🔥月销1k+"),
+    (dict(sales_text="0", rank_drops=15.0), 12, ""),
+    (dict(rank_drops=30.0), 24, ""),
+    (dict(rank_drops=61.0), 30, "📉高频出单"),
+    (dict(sales_text="3", rank_drops=61.0), 0, ""),
+    # Price: inside the range with both ends, then 3 points for each unit outside.
+    (dict(price_curr=15.0), 20, ""),
+    (dict(price_curr=80.0), 20, ""),
+    (dict(price_curr=5.0), 14, "⚠️低价"),
+    (dict(price_curr=10.0), 17, ""),
+    (dict(price_curr=90.0), 14, ""),
+    (dict(price_curr=300.0), 0, ""),
+    (dict(price_curr=0.0), 0, ""),
+    # Reviews, and the seller's share.
+    (dict(rating_count=0.0), 25, "✨新星"),
+    (dict(rating_count=50.0), 21, ""),
+    (dict(rating_count=100.0), 18, ""),
+    (dict(rating_count=200.0), 0, ""),
+    (dict(rating_count=100.0, share_amz_90="50%"), 18, ""),
+    (dict(rating_count=100.0, share_amz_90="51%"), 9, "🦖AMZ垄断"),
+    (dict(rating_count=100.0, share_amz_90="80%"), 9, "🦖AMZ垄断"),
+    (dict(rating_count=100.0, share_amz_90="81%"), 1, "🦖AMZ垄断"),
+    # Sellers: both counts are needed.
+    (dict(offers_fba=4.0, offers_fbm=0.0), 0, "👥卖家少"),
+    (dict(offers_fba=4.0, offers_fbm=1.0), 0, ""),
+    (dict(offers_fba=0.0, offers_fbm=0.0), 0, ""),
+    (dict(offers_fba=4.0), 0, ""),
+    # Growth: out of stock, and products to improve.
+    (dict(oos_90=15.0), 0, ""),
+    (dict(oos_90=16.7), 10, "🚨缺货16%"),
+    (dict(sales_text="150", rating_val=3.0), 15, ""),
+    (dict(sales_text="151", rating_val=3.0), 30, "🛠️改良机会"),
+    (dict(rank_drops=46.0, rating_val=3.9), 45, "🛠️改良机会"),
+    (dict(rank_drops=46.0, rating_val=4.0), 30, ""),
+    (dict(rank_drops=46.0, rating_val=2.9), 30, ""),
+    (dict(sales_text="151", rating_val=3.5, oos_90=20.0), 40, "🚨缺货20% 🛠️改良机会"),
+    # Three tags at most, in this order; nothing known gives 0.
+    (
+        dict(sales_text="2000", price_curr=5.0, rating_count=10.0, share_amz_90="90%"),
+        46, "🔥月销1k+ ⚠️低价 ✨新星",
+    ),
+    ({}, 0, ""),
+]
+
+
+def _scored(spark, config):
+    names = [c.split()[0] for c in SCORE_SCHEMA.split(", ")][1:]
+    rows = [(f"B{i}", *[given.get(n) for n in names]) for i, (given, *_) in enumerate(BY_HAND)]
+    scored = score.opportunity_score(spark.createDataFrame(rows, SCORE_SCHEMA), config)
+    return {r.asin: (r.score, r.tags) for r in scored.collect()}
+
+
+def test_scores_by_hand(spark):
+    got = _scored(spark, ScoreConfig())
+    assert got == {f"B{i}": (points, tags) for i, (_, points, tags) in enumerate(BY_HAND)}
+
+
+@pytest.mark.parametrize("config", [APP_SCORE, ScoreConfig(0, 0, 0, 0)])
+def test_scores_under_other_settings(spark, config):
+    got = _scored(spark, config)
+    assert all(0 <= points <= 100 for points, _ in got.values())
+    # 35 of 100 points for units in the app, none without weights.
+    assert got["B1"][0] == (35 if config is APP_SCORE else 0)
+
+
+def test_attribute_kinds_are_each_markets_own(spark):
     rows = [
-        (
-            f"B{i}", pick([None, "0", "100", "151", "300", "1001"]), pick([None, 0.0, 30.0, 46.0, 61.0]),
-            pick([None, 0.0, 5.0, 15.0, 18.0, 80.0, 90.0, 95.5, 300.0]), pick([None, 0.0, 49.0, 50.0, 249.0, 250.0]),
-            pick([None, 2.9, 3.0, 3.9, 4.0]), pick([None, 15.0, 16.7]),
-            pick([None, "50%", "51%", "80%", "81%"]), pick([None, 0.0, 4.0, 5.0]), pick([None, 0.0, 1.0]),
-        )
-        for i in range(400)
+        ("m1", "A1", "Red", 10.0), ("m1", "A2", "Blue", 20.0), ("m2", "A3", "5", 30.0), ("m2", "A4", "4.6", 40.0),
+        ("m2", "A5", "none", 50.0), ("m2", "A6", "-3", 60.0), (None, "A7", "Green", 70.0), ("m3", "A8", "-1", 80.0),
     ]
-    scored = score.opportunity_score(spark.createDataFrame(rows, SCORE_SCHEMA), config)
-    got = {r.asin: (r.score, r.tags) for r in scored.collect()}
-    assert got == {r[0]: brute_score(r, config) for r in rows}
-    assert all(0 <= s <= 100 for s, _ in got.values())
+    df = spark.createDataFrame(rows, "market string, asin string, size string, price double").withColumns(
+        {"monthly_units": F.lit(1), "monthly_revenue": F.col("price")}
+    )
+    got = {(r.market, r.attr, r.listings) for r in attributes.top_attributes(df, "size", by=["market"]).collect()}
+    assert got == {("m1", "Red", 1), ("m1", "Blue", 1), ("m2", "5", 2), (None, "Green", 1)}
+    box = {(r.market, r.attr, r.low, r.high) for r in attributes.attribute_price_box(df.where("market is not null"), "size", by=["market"]).collect()}
+    assert box == {("m1", "Red", 10, 10), ("m1", "Blue", 20, 20), ("m2", "5", 30, 40)}
+    lone = attributes.top_attributes(df, "size", by=["market"], most_texts=1, most_numeric=1).collect()
+    assert sorted((r.market or "", r.attr) for r in lone) == [("", "Green"), ("m1", "Blue"), ("m2", "5")]
+
+
+def test_large_values_stay_in_a_mean(spark):
+    from shelfsight.operators.common import rounded_avg
+
+    df = spark.createDataFrame([(2e12,), (4.0,)], "x double")
+    assert one(df.select(rounded_avg(F.col("x"), 2).alias("m"))).m == 1000000000002.0
 
 
 def test_absent_and_missing_reviews_differ(spark):
