@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfsight.llm.common import running
+from shelfsight.llm.common import running, stored
 
 BUDGET = 1024
 HISTORY = 256
@@ -79,21 +79,31 @@ def chat_windows(
         F.lit(1).cast("long").alias("one"),
     )
     rows = rows.withColumn("cost", tokens(F.concat("head", "body", F.lit(END))))
+    # A conversation's first turn is the least in the turns' order.
+    first = rows.groupBy("conv").agg(F.min(F.struct("turn", "role", "body", "cost")).alias("first"))
+    begun = first.where("first.role = 'system'").select("conv", F.col("first.cost").alias("system_cost"))
+    rows = rows.join(begun, "conv", "left")
+    # What a window has for new turns, and its half: the stride.
+    free = F.greatest(F.lit(budget) - F.coalesce("system_cost", F.lit(0)) - history, F.lit(2))
+    rows = rows.withColumn("stride", F.floor(free / 2)).withColumn("long", (F.col("cost") > F.col("stride")).cast("long"))
     order = ["turn", "role", "body"]
-    rows = running(rows, ["conv"], "stretch", order, "one", "at")
-    is_system = (F.col("at") == 0) & (F.col("role") == "system")
+    rows = running(rows, ["conv"], "stretch", order, ["one", "cost", "long"], ["at", "before", "longs"])
+    # Written once: the windows below read it several times.
+    rows = stored(rows.drop("one", "turn", "stretch"))
+    is_system = (F.col("at") == 0) & F.col("system_cost").isNotNull()
     system = rows.where(is_system).select("conv", "head", "body", "cost", "role")
-    begun = system.select("conv", F.col("cost").alias("system_cost"))
-    turns = rows.join(begun, "conv", "left").withColumn("system_cost", F.coalesce("system_cost", F.lit(0)))
-    # What a window has for new turns, and its half: the stride.
-    free = F.greatest(F.lit(budget) - F.col("system_cost") - history, F.lit(2))
-    turns = turns.withColumn("own", F.when(is_system, 0).otherwise(F.col("cost")))
-    turns = turns.withColumn("stride", F.floor(free / 2))
-    turns = turns.withColumn("long", (F.col("own") > F.col("stride")).cast("long"))
-    turns = running(turns, ["conv"], "stretch", ["at"], "own", "start")
-    turns = running(turns, ["conv"], "stretch", ["at"], "long", "longs")
+    # The system turn is no new turn of any window.
+    has = F.col("system_cost").isNotNull()
+    turns = rows.where(~is_system).withColumns(
+        {
+            "start": F.col("before") - F.coalesce("system_cost", F.lit(0)),
+            "longs": F.col("longs") - F.when(has, (F.col("system_cost") > F.col("stride")).cast("long")).otherwise(0),
+            "own": F.col("cost"),
+            "system_cost": F.coalesce("system_cost", F.lit(0)),
+        }
+    )
     span = F.struct(F.floor(F.col("start") / F.col("stride")).alias("a"), (2 * F.col("longs") + F.col("long")).alias("b"))
-    turns = turns.where(~is_system).withColumn("span", span)
+    turns = turns.withColumn("span", span)
     spans = turns.groupBy("conv", "span").agg(F.min("start").alias("first"), F.sum("own").alias("new"), F.first("system_cost").alias("system_cost"))
     spans = spans.withColumn("one", F.lit(1).cast("long")).withColumn("run", F.floor(F.col("span.a") / STRETCH))
     spans = running(spans, ["conv"], "run", ["span"], "one", "window")

@@ -49,14 +49,16 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def running(df: DataFrame, keys: list[str], group: str, order: list, value: str, to: str) -> DataFrame:
-    """df with the sum of ``value`` over the rows before, per key; ``group`` cuts a key's order into short runs."""
-    totals = df.groupBy(*keys, group).agg(F.sum(value).alias("_total"))
+def running(df: DataFrame, keys: list[str], group: str, order: list, value: str | list[str], to: str | list[str]) -> DataFrame:
+    """df with the sum of each ``value`` over the rows before, per key; ``group`` cuts a key's order into short runs."""
+    pairs = [(value, to)] if isinstance(value, str) else list(zip(value, to, strict=True))
+    totals = df.groupBy(*keys, group).agg(*[F.sum(v).alias(f"_total_{t}") for v, t in pairs])
     over = Window.partitionBy(*keys).orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(*keys, group, F.coalesce(F.sum("_total").over(over), F.lit(0)).alias("_start"))
+    starts = totals.select(*keys, group, *[F.coalesce(F.sum(f"_total_{t}").over(over), F.lit(0)).alias(f"_start_{t}") for _, t in pairs])
     inside = Window.partitionBy(*keys, group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     joined = df.join(starts, [*keys, group])
-    return joined.withColumn(to, F.col("_start") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("_start")
+    sums = {t: F.col(f"_start_{t}") + F.coalesce(F.sum(v).over(inside), F.lit(0)) for v, t in pairs}
+    return joined.withColumns(sums).drop(*[f"_start_{t}" for _, t in pairs])
 
 
 def partitions(spark: SparkSession) -> int:
