@@ -10,11 +10,15 @@ second keeps apart texts that share little but one passage repeated often.
 Order MinHash: under each of ``sketches`` hash functions ``sample``
 occurrence-labelled shingles are taken by their hashes and hashed in their text
 order. Texts with an equal sketch share a bucket. In a bucket the member that
-shares most buckets with others is aligned with all members, and every member
-that is then outside the leader's component is aligned with all members of
-other components, until no pair of the bucket is left undecided. So a group of
-n near copies costs about n alignments, and no link between members of a
-bucket that would join two components is missed.
+shares most buckets with others is aligned with all members. A member that is
+then outside the leader's component, a stray, may still be similar to others:
+it is aligned with those members of the leader's buckets in other components
+that share one of its rarest shingles. Two sets of n and m items with a Jaccard
+similarity of t share at least a = t / (1 + t) * (n + m), so, each in the same
+order, they share one of the first n - a + 1 and m - a + 1. The order is by how
+few members have a shingle, so that what a whole group shares proposes nothing,
+and no link between members of a bucket that would join two components is
+missed. A group of n near copies thus costs about n alignments.
 
 At a similarity of 0.8, two texts of equal order share a bucket with a
 probability of 1 - (1 - 0.8^5)^24 > 0.9999.
@@ -22,13 +26,12 @@ probability of 1 - (1 - 0.8^5)^24 > 0.9999.
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfsight.llm.common import U, WordHashes, batches, durable, mixed, shingles, small_batches, text_of
@@ -38,10 +41,6 @@ SKETCHES = 24
 SAMPLE = 5
 SHINGLE = 5
 SIMILARITY = 0.8
-LEADERS = 8
-# What one round may align in a bucket: all its members with 32 strays, or this many pairs.
-STRAYS_AT_ONCE = 32
-PAIRS_AT_ONCE = 100_000
 
 
 def words_of(text: str) -> list[str]:
@@ -182,6 +181,33 @@ def _verified(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.select("u", "v", "left", "right").mapInArrow(run, "u binary, v binary")
 
 
+def _rarest(family: DataFrame, wanted: DataFrame, similarity: float) -> DataFrame:
+    """``family`` (main, copy, root, stray) by the first shingles of each member, the rarest of its main first.
+
+    ``n`` counts a member's distinct shingles and ``pos`` the ones before. There
+    are as many as any text of a similarity can need; those of one member are left out.
+    """
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(frames):
+            items = [np.unique(np.frombuffer(x, dtype=U)).view(np.int64) for x in batch.column("items").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in ("main", "copy", "root", "stray")] + [pa.array(items, pa.list_(pa.int64()))],
+                ["main", "copy", "root", "stray", "items"],
+            )
+
+    kept = "main binary, copy binary, root binary, stray boolean"
+    read = family.join(wanted, "copy").select("main", "copy", "root", "stray", "items").mapInArrow(run, f"{kept}, items array<long>")
+    each = durable(read.select("main", "copy", "root", "stray", F.size("items").alias("n"), F.explode("items").alias("item")))
+    common = each.groupBy("main", "item").agg(F.count("*").alias("members"))
+    ranked = each.join(common, ["main", "item"]).groupBy("main", "copy", "root", "stray", "n").agg(
+        F.array_sort(F.collect_list(F.struct("members", "item"))).alias("items")
+    )
+    first = F.slice("items", F.lit(1), (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int"))
+    out = ranked.select("main", "copy", "root", "stray", "n", F.posexplode(first).alias("pos", "of"))
+    return durable(out.where("of.members > 1").select("main", "copy", "root", "stray", "n", "pos", F.col("of.item").alias("item")))
+
+
 def near_duplicate_classes(
     documents: DataFrame,
     sketches: int = SKETCHES,
@@ -205,22 +231,19 @@ def near_duplicate_classes(
     texts = texts.select("doc_id", "text", F.unhex(F.md5("text")).alias("copy"))
     rows = durable(_sketched(texts, sketches, sample, shingle))
 
-    classes = rows.groupBy("copy").agg(
-        F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.first("sketches").alias("sketches")
+    classes = durable(
+        rows.groupBy("copy").agg(
+            F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.first("sketches").alias("sketches")
+        )
     )
-    members = classes.select("copy", "size", F.explode("sketches").alias("bucket")).distinct()
+    members = classes.select("copy", "size", F.explode(F.array_distinct("sketches")).alias("bucket"))
     counts = members.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     # How many others a member meets, over all its buckets: the centre of a star comes first.
-    shared = members.join(counts, "bucket")
+    shared = durable(members.join(counts, "bucket"))
     degree = shared.groupBy("copy").agg(F.sum("members").alias("degree"))
-    shared = durable(
-        shared.join(degree, "copy").select(
-            "bucket", "copy", "size", "members", F.struct((-F.col("degree")).alias("d"), F.col("copy").alias("c")).alias("rank")
-        )
-    )
-    order = Window.partitionBy("bucket").orderBy("rank")
-    leaders = shared.withColumn("n", F.row_number().over(order)).where(F.col("n") <= LEADERS)
-    leaders = durable(leaders.select("bucket", "n", F.col("copy").alias("s"), F.col("size").alias("s_size")))
+    ranked = shared.join(degree, "copy").select("bucket", F.struct((-F.col("degree")).alias("d"), "copy", "size").alias("rank"))
+    leaders = ranked.groupBy("bucket").agg(F.min("rank").alias("first"))
+    leaders = durable(leaders.select("bucket", F.col("first.copy").alias("main"), F.col("first.size").alias("main_size")))
 
     # Joined on both keys, so that the rows of a large group of copies are dealt out.
     chosen = classes.join(shared.select("copy").distinct(), "copy").select(
@@ -229,45 +252,39 @@ def near_duplicate_classes(
     wanted = texts.withColumn("id", F.coalesce("doc_id", F.lit(-1))).join(chosen, ["copy", "id"], "left_semi")
     wanted = durable(_items(wanted.groupBy("copy").agg(F.first("text").alias("text")), shingle))
 
-    def met(one: DataFrame, other: DataFrame, apart: Column) -> DataFrame:
-        """Pairs of ``one.copy`` and ``other.s`` in a bucket, of sizes that can be similar."""
-        alike = F.least("size", "s_size") >= similarity * F.greatest("size", "s_size")
-        rows = one.join(other.withColumnRenamed("bucket", "b"), (F.col("bucket") == F.col("b")) & apart & alike)
-        return rows.select(F.least("copy", "s").alias("u"), F.greatest("copy", "s").alias("v")).distinct()
-
     def checked(pairs: DataFrame) -> DataFrame:
         left = wanted.select(F.col("copy").alias("u"), F.col("items").alias("left"))
         right = wanted.select(F.col("copy").alias("v"), F.col("items").alias("right"))
         return durable(_verified(pairs.join(left, "u").join(right, "v"), similarity))
 
-    done = durable(met(shared, leaders.where("n = 1"), F.col("copy") != F.col("s")))
-    roots = components(checked(done))
-    settled = None
-    for turn in itertools.count():
-        named = shared.join(roots, shared.copy == roots.node, "left").select(
-            "bucket", "copy", "size", "members", "rank", F.coalesce("root", "copy").alias("root")
-        )
-        main = leaders.where("n = 1").join(roots, leaders.s == roots.node, "left")
-        main = main.select("bucket", F.coalesce("root", "s").alias("main"))
-        strays = named.join(main, "bucket").where("root != main").drop("main")
-        others = leaders.where("n > 1")
-        if turn:
-            if settled is not None:
-                strays = strays.join(settled, ["bucket", "copy"], "left_anti")
-            most = F.greatest(F.lit(STRAYS_AT_ONCE), F.lit(PAIRS_AT_ONCE) / F.col("members"))
-            strays = strays.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
-            strays = durable(strays.select("bucket", F.col("copy").alias("s"), F.col("size").alias("s_size"), "root"))
-            if strays.isEmpty():
-                break
-            pairs = met(named, strays.withColumnRenamed("root", "s_root"), F.col("root") != F.col("s_root"))
-            now = strays.select("bucket", F.col("s").alias("copy"))
-            settled = now if settled is None else settled.union(now)
-        else:
-            pairs = met(strays, others, F.col("copy") != F.col("s"))
-        pairs = durable(pairs.join(done, ["u", "v"], "left_anti"))
-        done = done.union(pairs)
-        known = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
-        roots = components(known.union(checked(pairs)))
+    u, v = F.least("copy", "other").alias("u"), F.greatest("copy", "other").alias("v")
+    alike = F.least("size", "main_size") >= similarity * F.greatest("size", "main_size")
+    placed = shared.join(leaders, "bucket").select("copy", "main", "size", "main_size").distinct()
+    placed = durable(placed.where("copy != main"))
+    done = durable(placed.where(alike).withColumnRenamed("main", "other").select(u, v).distinct())
+    links = checked(done)
+    roots = components(links)
+
+    def rooted(df: DataFrame, column: str, to: str) -> DataFrame:
+        named = roots.select(F.col("node").alias(column), F.col("root").alias(to))
+        return df.join(named, column, "left").withColumn(to, F.coalesce(to, column))
+
+    family = rooted(rooted(placed.select("copy", "main"), "copy", "root"), "main", "main_root")
+    family = family.select("main", "copy", "root", (F.col("root") != F.col("main_root")).alias("stray"))
+    family = durable(family)
+    troubled = family.where("stray").groupBy("main").agg(F.count("*").alias("strays"))
+    rare = _rarest(family.join(troubled, "main", "left_semi"), wanted, similarity)
+    strays = rare.where("stray").select(
+        "main", "item", F.col("copy").alias("other"), F.col("root").alias("other_root"),
+        F.col("n").alias("other_n"), F.col("pos").alias("other_pos"),
+    )
+    least = F.ceil((F.col("n") + F.col("other_n")) * (similarity / (1 + similarity)) - 1e-6)
+    meets = (F.col("pos") + least <= F.col("n")) & (F.col("other_pos") + least <= F.col("other_n"))
+    apart = F.col("root") != F.col("other_root")
+    pairs = rare.join(strays, ["main", "item"]).where(apart & meets).select(u, v).distinct()
+    more = checked(durable(pairs.join(done, ["u", "v"], "left_anti")))
+    known = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    roots = components(known.union(more))
     named = classes.select("copy", "first_id").join(roots, classes.copy == roots.node, "left")
     named = named.select("copy", "first_id", F.coalesce("root", "copy").alias("root"))
     whole = named.groupBy("root").agg(

@@ -89,10 +89,7 @@ def test_alignment_equals_the_table():
         assert found == exact if exact >= least else found < least
 
 
-def test_a_bucket_without_a_centre_is_settled(documents, monkeypatch):
-    monkeypatch.setattr(nd, "LEADERS", 1)
-    monkeypatch.setattr(nd, "STRAYS_AT_ONCE", 1)
-    monkeypatch.setattr(nd, "PAIRS_AT_ONCE", 1)
+def test_a_bucket_without_a_centre_is_settled(documents):
     rng = random.Random(1)
     base = words(rng, 120)
     texts = []
