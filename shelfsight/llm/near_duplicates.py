@@ -182,7 +182,7 @@ def _verified(pairs: DataFrame, similarity: float) -> DataFrame:
 
 
 def _rarest(family: DataFrame, wanted: DataFrame, similarity: float) -> DataFrame:
-    """``family`` (main, copy, root, stray) by the first shingles of each member, the rarest of its main first.
+    """``family`` (main, copy, root, stray) by the first shingles of each member, the rarest of its ``main`` first.
 
     ``n`` counts a member's distinct shingles and ``pos`` the ones before. There
     are as many as any text of a similarity can need; those of one member are left out.
@@ -270,8 +270,9 @@ def near_duplicate_classes(
         return df.join(named, column, "left").withColumn(to, F.coalesce(to, column))
 
     family = rooted(rooted(placed.select("copy", "main"), "copy", "root"), "main", "main_root")
-    family = family.select("main", "copy", "root", (F.col("root") != F.col("main_root")).alias("stray"))
-    family = durable(family)
+    # The stars of one component share their members, so they make one family.
+    family = family.select(F.col("main_root").alias("main"), "copy", "root").distinct()
+    family = durable(family.withColumn("stray", F.col("root") != F.col("main")))
     troubled = family.where("stray").groupBy("main").agg(F.count("*").alias("strays"))
     rare = _rarest(family.join(troubled, "main", "left_semi"), wanted, similarity)
     strays = rare.where("stray").select(
