@@ -70,14 +70,22 @@ def with_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return computed.select(*kept, F.inline(F.array(values)))
 
 
+def cents_sum(c: Column) -> Column:
+    """Sum of cents that no number of rows overflows.
+
+    One row counts for at most 2^63 cents, which no price of a listing reaches.
+    """
+    return F.sum(cents(c).cast("decimal(20,0)"))
+
+
 def money_sum(c: Column) -> Column:
     """Exact sum of money; 0 over no rows."""
-    return F.coalesce(F.sum(cents(c)), F.lit(0)) / 100
+    return F.coalesce(cents_sum(c).cast("double"), F.lit(0.0)) / 100
 
 
 def money_avg(c: Column) -> Column:
     """Mean of money from its exact sum; NULL over no rows."""
-    return F.try_divide(F.sum(cents(c)) / 100, F.count(c))
+    return F.try_divide(cents_sum(c).cast("double") / 100, F.count(c))
 
 
 def rounded_avg(c: Column, digits: int) -> Column:

@@ -70,6 +70,8 @@ def pareto_curve(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
     curve = (
         summed.withColumn("block", F.explode(blocks))
+        # The blocks of one row go to several tasks, which write out its copies.
+        .repartition(*market, "asin", "revenue_cents", "block")
         .withColumn("copy", F.explode(in_block))
         .select(
             *by,

@@ -108,9 +108,14 @@ def size_extent(
     df: DataFrame, limits: SizeLimits = SizeLimits(), by: Sequence[str] = ()
 ) -> DataFrame:
     """Axis ends that show 99 % of the parcels and the limits."""
-    length = quantiles_of(histogram(df, F.col("pkg_l"), by), {"_l": 0.99}, by)
-    width = quantiles_of(histogram(df, F.col("pkg_w"), by), {"_w": 0.99}, by)
-    return attach(length, width, by).select(
+    sides = F.array(*[F.struct(F.lit(c).alias("_side"), F.col(c).alias("_size")) for c in SIDES[:2]])
+    each = df.select(*by, F.inline(sides))
+    keys = [*by, "_side"]
+    ends = quantiles_of(histogram(each, F.col("_size"), keys), {"_end": 0.99}, keys)
+    wide = group(ends, by).agg(
+        *[F.max(F.when(F.col("_side") == c, F.col("_end"))).alias(to) for c, to in zip(SIDES, ("_l", "_w"))]
+    )
+    return wide.select(
         *by,
         F.greatest(F.col("_l") * 1.1, F.lit(limits.length * 1.05)).alias("max_length"),
         F.greatest(F.col("_w") * 1.1, F.lit(limits.width * 1.05)).alias("max_width"),

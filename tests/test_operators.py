@@ -586,3 +586,33 @@ def test_dashboard(shop):
     assert {"market_kpis", "attribute", "fulfillment_share", "pareto"} <= set(charts)
     assert charts["market_kpis"].collect()[0].products == shop.count()
     shared.unpersist()
+
+
+def test_absurd_prices_neither_overflow_nor_vanish(spark):
+    from shelfsight.operators.common import money_avg, money_sum
+
+    rows = [(1e20,), (1e20,), (1.0,), (None,)]
+    got = one(spark.createDataFrame(rows, "p double").agg(money_sum(F.col("p")).alias("s"), money_avg(F.col("p")).alias("m")))
+    # A row counts for at most 2^63 cents.
+    assert got.s == pytest.approx(2 * 2**63 / 100) and got.m == pytest.approx(got.s / 3)
+    small = spark.createDataFrame([(1e12,), (0.01,)], "p double")
+    assert one(small.agg(money_sum(F.col("p")).alias("s"))).s == 1000000000000.01
+
+
+def test_copies_of_a_row_are_written_by_several_tasks(spark):
+    n = 5 * pareto.COPIES_PER_ARRAY
+    df = spark.range(n).select(F.lit(None).cast("string").alias("asin"), F.lit(0.0).alias("monthly_revenue"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        curve = pareto.pareto_curve(df).withColumn("task", F.spark_partition_id())
+        per_task = [r["count"] for r in curve.groupBy("task").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(per_task) == n + 1 and max(per_task) < n
+
+
+def test_size_extent_reads_the_parcels_once(spark):
+    df = spark.createDataFrame([("a", 10.0, 200.0), ("b", 300.0, 20.0)], "asin string, pkg_l double, pkg_w double")
+    extent = sizes.size_extent(df)
+    got = one(extent)
+    assert (got.max_length, got.max_width) == (pytest.approx(297.1 * 1.1), pytest.approx(198.2 * 1.1))
