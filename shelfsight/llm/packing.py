@@ -1,19 +1,28 @@
 """Pack documents into windows of tokens with their lexical neighbours.
 
-Documents are dealt into shards of at most ``shard_docs`` documents and
-``shard_tokens`` tokens, in the order in which tasks read them. Each shard has
-an inverted index of its own: token id -> documents with their BM25 weights. A
-window starts with a seed document; the index returns the unused documents
-that score best for the seed's ``query_terms`` heaviest terms, and they fill
-the window in that order. A neighbour that doesn't fit is cut, and its rest
-seeds the next window, so only the last window of a shard has padding. No
-text crosses the network and a task holds one shard at a time.
+Document frequencies, the number of documents and their mean length are summed
+over all documents. A document asks for its ``query_terms`` heaviest BM25 terms
+among those that other documents have too. All documents are put in the order
+of the four least of these under one shuffle of the vocabulary (a MinHash), so
+that documents which ask for much the same stand together wherever they were
+stored, and a common first term is split by the next ones. Runs of this order,
+of at most ``shard_docs`` documents and ``shard_tokens`` tokens, are shards.
+
+Each shard has an inverted index: token id -> documents with their BM25 weights
+by the sums over all documents. A window starts with a seed document; the index
+returns the unused documents of the shard that score best for the seed's terms,
+and they fill the window in that order. A neighbour that doesn't fit is cut, and
+its rest seeds the next window, so only the last window of a shard has padding.
+Neighbours in other shards are lost. Token ids cross the network once, texts
+never do, and a task holds one shard at a time.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfsight.llm.common import batches, small_batches, text_of
+from shelfsight.llm.common import batches, small_batches, stored, text_of
 from shelfsight.llm.tokens import END, Tokens, tokenizer_paths
 
 WINDOW = 1024
@@ -29,6 +38,9 @@ SHARD_DOCS = 2048
 SHARD_TOKENS = 2_000_000
 QUERY_TERMS = 32
 K1, B = 1.2, 0.75
+VOCABULARY = 1 << 16
+KEY_TERMS = 4
+SEED = 17
 
 SCHEMA = T.StructType(
     [
@@ -38,10 +50,44 @@ SCHEMA = T.StructType(
 )
 
 
+class Statistics(NamedTuple):
+    """What BM25 needs of a whole corpus: documents, mean length, and documents that hold each term."""
+
+    n: int
+    mean: float
+    df: np.ndarray
+
+    @classmethod
+    def of(cls, docs: list[np.ndarray]) -> Statistics:
+        held = np.concatenate([np.unique(d) for d in docs])
+        return cls(len(docs), sum(map(len, docs)) / len(docs), np.bincount(held, minlength=VOCABULARY))
+
+    def weights(self, term: np.ndarray, count: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        idf = np.log1p((self.n - self.df[term] + 0.5) / (self.df[term] + 0.5))
+        return idf * count * (K1 + 1) / (count + K1 * (1 - B + B * size / self.mean))
+
+
+SHUFFLED = np.random.default_rng(SEED).permutation(VOCABULARY)
+
+
+def place_of(doc: np.ndarray, whole: Statistics, query_terms: int = QUERY_TERMS) -> int:
+    """A document's place in the order that is cut into shards."""
+    term, count = np.unique(doc, return_counts=True)
+    weight = whole.weights(term, count, len(doc))
+    met = whole.df[term] > 1
+    term, weight = term[met], weight[met]
+    asked = SHUFFLED[term[np.lexsort((term, -weight))][:query_terms]]
+    least = np.sort(asked)[:KEY_TERMS].tolist()
+    place = 0
+    for x in [*least, *[VOCABULARY - 1] * (KEY_TERMS - len(least))]:
+        place = place << 16 | x
+    return place - (1 << 63)
+
+
 class Bm25:
-    """An inverted index over the token ids of one shard's documents."""
+    """An inverted index over the token ids of one shard's documents, weighted by the statistics of all."""
 
-    def __init__(self, docs: list[np.ndarray], query_terms: int = QUERY_TERMS):
+    def __init__(self, docs: list[np.ndarray], query_terms: int = QUERY_TERMS, whole: Statistics | None = None):
         n = len(docs)
         sizes = np.array([len(d) for d in docs])
         keys = np.concatenate([d.astype(np.int64) + (i << 17) for i, d in enumerate(docs)])
@@ -49,9 +95,8 @@ class Bm25:
         at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         count = np.diff(np.r_[at, len(keys)])
         doc, term = keys[at] >> 17, keys[at] & 0x1FFFF
+        weight = (whole or Statistics.of(docs)).weights(term, count, sizes[doc])
         _, term, df = np.unique(term, return_inverse=True, return_counts=True)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        weight = idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * sizes[doc] / sizes.mean()))
         order = np.argsort(term, kind="stable")
         self.first = np.r_[0, np.cumsum(df)]
         self.docs, self.weights = doc[order], weight[order]
@@ -73,10 +118,12 @@ class Bm25:
         return some[np.lexsort((some, -found[some]))]
 
 
-def windows(docs: list[np.ndarray], size: int, query_terms: int = QUERY_TERMS) -> Iterator[list[tuple[int, int, int]]]:
+def windows(
+    docs: list[np.ndarray], size: int, query_terms: int = QUERY_TERMS, whole: Statistics | None = None
+) -> Iterator[list[tuple[int, int, int]]]:
     """Windows as pieces (document, start, length); each token of ``docs`` is in one."""
     used = np.zeros(len(docs), dtype=bool)
-    index = Bm25(docs, query_terms) if len(docs) > 1 else None
+    index = Bm25(docs, query_terms, whole) if len(docs) > 1 else None
     following, waiting = 0, None
     while True:
         if waiting is None:
@@ -116,9 +163,11 @@ def windows(docs: list[np.ndarray], size: int, query_terms: int = QUERY_TERMS) -
         yield window
 
 
-def _pieces(ids: list, docs: list[np.ndarray], first: int, size: int, query_terms: int) -> tuple[list[tuple], int]:
+def _pieces(
+    ids: list, docs: list[np.ndarray], first: int, size: int, query_terms: int, whole: Statistics
+) -> tuple[list[tuple], int]:
     out, sequence = [], first
-    for window in windows(docs, size, query_terms):
+    for window in windows(docs, size, query_terms, whole):
         offset = 0
         for doc, start, length in window:
             crc = zlib.crc32(docs[doc][start : start + length].astype("<u4").tobytes())
@@ -128,6 +177,44 @@ def _pieces(ids: list, docs: list[np.ndarray], first: int, size: int, query_term
     return out, sequence
 
 
+def _tokenized(documents: DataFrame, paths: dict[str, str]) -> DataFrame:
+    """(doc_id, row, ids): the token ids of each row, 2 bytes each, with the end."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = Tokens(paths)
+        for batch in batches(frames):
+            ids = [np.append(tokens.ids(t), np.uint16(END)).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("row"), pa.array(ids, pa.binary())], ["doc_id", "row", "ids"]
+            )
+
+    rows = documents.select("doc_id", F.monotonically_increasing_id().alias("row"), text_of("text").alias("text"))
+    return stored(rows.mapInArrow(run, "doc_id long, row long, ids binary"))
+
+
+def statistics(tokenized: DataFrame) -> Statistics:
+    """The statistics of all rows; the driver receives one number for each term of the vocabulary."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, n, size = np.zeros(VOCABULARY, dtype=np.int64), 0, 0
+        for batch in batches(frames):
+            for ids in batch.column("ids").to_pylist():
+                doc = np.frombuffer(ids, dtype=np.uint16)
+                df[np.unique(doc)] += 1
+                n, size = n + 1, size + len(doc)
+        term = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.r_[-2, -1, term], pa.int64()), pa.array(np.r_[n, size, df[term]], pa.int64())], ["term", "n"]
+        )
+
+    sums = tokenized.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    found = {r.term: r.n for r in sums.collect()}
+    n, size = found.pop(-2, 0), found.pop(-1, 0)
+    df = np.zeros(VOCABULARY, dtype=np.int64)
+    df[list(found)] = list(found.values())
+    return Statistics(n, size / max(n, 1), df)
+
+
 def packed(
     documents: DataFrame,
     tokenizer: dict[str, str] | None = None,
@@ -144,17 +231,28 @@ def packed(
     offset (place in the sequence, without gaps from 0). A NULL or empty text
     is the id 0 alone; rows that share a doc_id are packed each for itself;
     long texts fill windows of their own but for their rest. Equal scores go by
-    place in the shard. Other columns are ignored; no row gives no row.
+    place in the shard. Where the rows are stored has no say in what is near. Other columns are ignored; no row gives no row.
     """
     small_batches(documents.sparkSession)
-    paths = tokenizer or tokenizer_paths()
+    rows = _tokenized(documents, tokenizer or tokenizer_paths())
+    found = statistics(rows)
+    # Ranges of about four fifths of a shard, so that most hold one shard and no short rest.
+    parts = math.ceil(1.25 * max(found.n / shard_docs, found.n * found.mean / shard_tokens, 0.8))
+    shared = documents.sparkSession.sparkContext.broadcast(tuple(found))
+
+    def placed(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = Statistics(*shared.value)
+        for batch in batches(frames):
+            docs = (np.frombuffer(x, dtype=np.uint16) for x in batch.column("ids").to_pylist())
+            places = pa.array([place_of(d, whole, query_terms) for d in docs], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, places], [*batch.schema.names, "place"])
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, ids, docs, held, sequence = Tokens(paths), [], [], 0, 0
+        whole, ids, docs, held, sequence = Statistics(*shared.value), [], [], 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal ids, docs, held, sequence
-            rows, sequence = _pieces(ids, docs, (part << 33) + sequence, window, query_terms)
+            rows, sequence = _pieces(ids, docs, (part << 33) + sequence, window, query_terms, whole)
             sequence -= part << 33
             ids, docs, held = [], [], 0
             columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
@@ -163,8 +261,8 @@ def packed(
         part = 0
         for batch in batches(frames):
             part = batch.column("part")[0].as_py()
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                found = np.append(tokens.ids(text), np.uint16(END))
+            for doc_id, tokens in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                found = np.frombuffer(tokens, dtype=np.uint16)
                 if docs and held + len(found) > shard_tokens:
                     yield from flush()
                 ids.append(doc_id)
@@ -175,6 +273,6 @@ def packed(
         if docs:
             yield from flush()
 
-    return documents.select(
-        "doc_id", text_of("text").alias("text"), F.spark_partition_id().alias("part")
-    ).mapInArrow(run, SCHEMA)
+    dealt = rows.mapInArrow(placed, "doc_id long, row long, ids binary, place long")
+    dealt = dealt.repartitionByRange(parts, "place", "row").sortWithinPartitions("place", "row")
+    return dealt.select("doc_id", "ids", F.spark_partition_id().alias("part")).mapInArrow(run, SCHEMA)

@@ -145,3 +145,26 @@ def test_packing_odd_rows(documents):
     assert sum(r.start == 0 for r in found) == len(odd_rows())
     assert sum(r.length for r in found) == sum(r.doc_tokens for r in found if r.start == 0)
     assert packing.packed(docs.where("false")).count() == 0
+
+
+@TOKENIZER
+def test_related_documents_meet_wherever_they_are_stored(documents):
+    rng = random.Random(8)
+    words = [[said(rng, 1) for _ in range(40)] for _ in range(30)]
+    # Thirty subjects of twenty documents each, the documents of one subject thirty rows apart.
+    rows = [(i, " ".join(f"{w}{i % 30}" for w in rng.sample(words[i % 30], 30)), "a") for i in range(600)]
+    for docs in (documents(rows), documents(rows).repartition(7)):
+        windows = defaultdict(list)
+        for r in packing.packed(docs, window=256, shard_docs=60).collect():
+            windows[r.sequence_id].append(r.doc_id % 30)
+        pairs = [(a, b) for w in windows.values() for a, b in zip(w, w[1:])]
+        assert sum(a == b for a, b in pairs) > 0.7 * len(pairs)
+
+
+@TOKENIZER
+def test_statistics_span_all_partitions(documents):
+    rows = corpus(100)
+    coder = tokens.Tokens(tokens.tokenizer_paths())
+    want = packing.Statistics.of([np.append(coder.ids(t or ""), np.uint16(0)) for _, t, _ in rows])
+    found = packing.statistics(packing._tokenized(documents(rows).repartition(5), tokens.tokenizer_paths()))
+    assert found.n == want.n and found.mean == pytest.approx(want.mean) and (found.df == want.df).all()
