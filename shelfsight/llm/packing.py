@@ -100,21 +100,34 @@ class Bm25:
         order = np.argsort(term, kind="stable")
         self.first = np.r_[0, np.cumsum(df)]
         self.docs, self.weights = doc[order], weight[order]
-        # A document's heaviest terms are what it asks for.
+        # A document's heaviest terms are what it asks for, those of no other document of the shard apart.
         by_doc = np.lexsort((term, -weight, doc))
+        by_doc = by_doc[df[term[by_doc]] > 1]
         starts = np.searchsorted(doc[by_doc], np.arange(n + 1))
         self.asked = [term[by_doc[a : min(b, a + query_terms)]] for a, b in zip(starts[:-1], starts[1:], strict=True)]
-        self.score = np.zeros(n)
+        self.sizes = sizes
 
-    def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share an asked term, the best score first, ties by place."""
+    def neighbours(self, seed: int, used: np.ndarray, room: int | None = None) -> np.ndarray:
+        """Unused documents that share an asked term, the best score first, ties by place.
+
+        As many as ``room`` tokens need, or all where it is None.
+        """
         parts = [slice(self.first[t], self.first[t + 1]) for t in self.asked[seed]]
+        if not parts:
+            return np.zeros(0, dtype=np.int64)
         docs = np.concatenate([self.docs[p] for p in parts])
         found = np.bincount(docs, np.concatenate([self.weights[p] for p in parts]), len(used))
         found[used] = 0
         some = np.flatnonzero(found)
-        if len(some) > 64:
-            some = some[np.argpartition(-found[some], 63)[:64]]
+        most = 64
+        while room is not None and len(some) > most:
+            # All documents that score as the last of them does are in, so that ties go by place.
+            last = np.partition(found[some], len(some) - most)[len(some) - most]
+            best = some[found[some] >= last]
+            if self.sizes[best].sum() >= room:
+                some = best
+                break
+            most *= 4
         return some[np.lexsort((some, -found[some]))]
 
 
@@ -142,7 +155,7 @@ def windows(
         if free == size:
             continue
         window = [(seed, start, size - free)]
-        near = index.neighbours(seed, used) if index else ()
+        near = index.neighbours(seed, used, free) if index else ()
         places = iter(near)
         while free:
             other = next(places, None)

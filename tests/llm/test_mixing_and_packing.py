@@ -168,3 +168,26 @@ def test_statistics_span_all_partitions(documents):
     want = packing.Statistics.of([np.append(coder.ids(t or ""), np.uint16(0)) for _, t, _ in rows])
     found = packing.statistics(packing._tokenized(documents(rows).repartition(5), tokens.tokenizer_paths()))
     assert found.n == want.n and found.mean == pytest.approx(want.mean) and (found.df == want.df).all()
+
+
+def test_neighbours_fill_a_window_whatever_their_number():
+    rng = np.random.default_rng(1)
+    docs = [rng.integers(1000 * (k % 2), 1000 * (k % 2) + 20, 6) for k in range(600)]
+    first = next(packing.windows(docs, 1024))
+    assert len(first) > 150 and {d % 2 for d, *_ in first} == {0}
+
+
+def test_equal_scores_go_by_place():
+    docs = [np.array([5, 6, 7, 8]) for _ in range(300)] + [np.array([9, 10])]
+    used = np.zeros(301, dtype=bool)
+    used[7] = True
+    near = packing.Bm25(docs).neighbours(7, used, 400)
+    assert near[:100].tolist() == [k for k in range(101) if k != 7]
+
+
+def test_terms_of_one_document_ask_for_nothing():
+    rng = np.random.default_rng(2)
+    own = [np.arange(100 + 50 * k, 150 + 50 * k) for k in range(20)]
+    docs = [np.r_[own[k], np.arange(k % 4 * 5, k % 4 * 5 + 5)][rng.permutation(55)] for k in range(20)]
+    near = packing.Bm25(docs).neighbours(0, np.arange(20) == 0)
+    assert near.tolist() == [4, 8, 12, 16]
