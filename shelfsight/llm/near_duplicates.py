@@ -20,8 +20,13 @@ few members have a shingle, so that what a whole group shares proposes nothing,
 and no link between members of a bucket that would join two components is
 missed. A group of n near copies thus costs about n alignments.
 
-At a similarity of 0.8, two texts of equal order share a bucket with a
-probability of 1 - (1 - 0.8^5)^24 > 0.9999.
+Sketches of few shingles agree too rarely: those of 4 and 5 never do. So texts of
+at most ``SHORT`` shingles, and those long enough to be similar to one, share a
+bucket also for each of their first rarest shingles, counted over all such
+texts: by the same bound on the shared shingles no similar pair is without one.
+
+At a similarity of 0.8, two long texts of equal order share a bucket with a
+probability near 1 - (1 - 0.8^5)^24 > 0.9999; the README has measured rates.
 """
 
 from __future__ import annotations
@@ -41,6 +46,7 @@ SKETCHES = 24
 SAMPLE = 5
 SHINGLE = 5
 SIMILARITY = 0.8
+SHORT = 40
 
 
 def words_of(text: str) -> list[str]:
@@ -137,21 +143,25 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return aligned(a, b, least) >= least
 
 
-def _sketched(df: DataFrame, sketches: int, sample: int, shingle: int) -> DataFrame:
+def _sketched(df: DataFrame, sketches: int, sample: int, shingle: int, short: int) -> DataFrame:
+    """(doc_id, copy, size, sketches, items); ``items`` are the distinct shingles of texts of at most ``short``."""
+
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches(frames):
-            size, found = [], []
+            size, found, few = [], [], []
             for text in batch.column("text").to_pylist():
                 items = shingles(hashes.of(words_of(text)), shingle)
                 size.append(len(items))
                 found.append(order_minhash(items, sketches, sample).view(np.int64).tolist() if len(items) else [])
+                few.append(np.unique(items).view(np.int64).tolist() if len(items) <= short else [])
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (found, few)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("copy"), pa.array(size, pa.int64()), pa.array(found, pa.list_(pa.int64()))],
-                ["doc_id", "copy", "size", "sketches"],
+                [batch.column("doc_id"), batch.column("copy"), pa.array(size, pa.int64()), *lists],
+                ["doc_id", "copy", "size", "sketches", "items"],
             )
 
-    return df.mapInArrow(run, "doc_id long, copy binary, size long, sketches array<long>")
+    return df.mapInArrow(run, "doc_id long, copy binary, size long, sketches array<long>, items array<long>")
 
 
 def _items(df: DataFrame, shingle: int) -> DataFrame:
@@ -208,6 +218,18 @@ def _rarest(family: DataFrame, wanted: DataFrame, similarity: float) -> DataFram
     return durable(out.where("of.members > 1").select("main", "copy", "root", "stray", "n", "pos", F.col("of.item").alias("item")))
 
 
+def _short_buckets(classes: DataFrame, similarity: float) -> DataFrame:
+    """(copy, size, bucket): the first shingles of each short text, the rarest of all short texts first."""
+    each = classes.select("copy", "size", F.size("items").alias("n"), F.explode("items").alias("item"))
+    common = each.groupBy("item").agg(F.count("*").alias("members"))
+    ranked = each.join(common, "item").groupBy("copy", "size", "n").agg(
+        F.array_sort(F.collect_list(F.struct("members", "item"))).alias("items")
+    )
+    first = F.slice("items", F.lit(1), (F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).cast("int"))
+    out = ranked.select("copy", "size", F.explode(first).alias("of")).where("of.members > 1")
+    return out.select("copy", "size", F.xxhash64(F.lit("short"), "of.item").alias("bucket"))
+
+
 def near_duplicate_classes(
     documents: DataFrame,
     sketches: int = SKETCHES,
@@ -229,14 +251,18 @@ def near_duplicate_classes(
     small_batches(spark)
     texts = documents.select("doc_id", text_of("text").alias("text"))
     texts = texts.select("doc_id", "text", F.unhex(F.md5("text")).alias("copy"))
-    rows = durable(_sketched(texts, sketches, sample, shingle))
+    rows = durable(_sketched(texts, sketches, sample, shingle, math.floor(SHORT / similarity)))
 
     classes = durable(
         rows.groupBy("copy").agg(
-            F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.first("sketches").alias("sketches")
+            F.min("doc_id").alias("first_id"),
+            F.first("size").alias("size"),
+            F.first("sketches").alias("sketches"),
+            F.first("items").alias("items"),
         )
     )
     members = classes.select("copy", "size", F.explode(F.array_distinct("sketches")).alias("bucket"))
+    members = members.unionByName(_short_buckets(classes, similarity))
     counts = members.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
     # How many others a member meets, over all its buckets: the centre of a star comes first.
     shared = durable(members.join(counts, "bucket"))

@@ -139,3 +139,20 @@ def test_sketches_keep_text_order():
     one = nd.order_minhash(np.r_[a, b], 24, 5)
     other = nd.order_minhash(np.r_[b, a], 24, 5)
     assert (one == nd.order_minhash(np.r_[a, b], 24, 5)).all() and (one != other).sum() > 12
+
+
+def test_short_near_copies_are_found_one_and_all(documents):
+    rng = random.Random(21)
+    texts = []
+    # 8 and 9 words are 4 and 5 shingles, which no sketch of five can have in common.
+    for count in (8,) * 60 + (9, 12, 13, 13, 13, 20, 30, 44) * 20:
+        base = words(rng, count)
+        texts += [" ".join(base), " ".join([*base, *words(rng, 1)])]
+    middle = words(rng, 29)
+    texts += [" ".join([*middle[:k], *words(rng, 1), *middle[k:]]) for k in range(30)]
+    items = [items_of(t) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if set(items[i].tolist()) & set(items[j].tolist())]
+    want = classes_of(texts, [p for p in pairs if alike(items[p[0]], items[p[1]])])
+    assert all(want[i] == want[i + 1] for i in range(0, 120, 2))
+    found = nd.near_duplicate_classes(documents([(i, t, "s") for i, t in enumerate(texts)]))
+    assert {r.doc_id: r.class_id for r in found.collect()} == dict(enumerate(want))
