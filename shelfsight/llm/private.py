@@ -2,8 +2,9 @@
 
 Base spans follow fixed patterns (``base_spans``) and are always redacted. Loose
 generators propose further, overlapping spans: numbers written as national
-phones or cards, disguised addresses, IPv6 addresses and IBANs. Boosted trees
-judge them by their format and by the text around them.
+phones or cards, disguised addresses, IPv6 addresses and IBANs. Where numbers
+stand side by side, each run of their digit groups is proposed. Boosted trees
+judge the spans by their format and by the text around them.
 
 The trees learn from two bounded sets: ``examples`` (written-out formats and
 lookalikes, from fixed rules) and the candidates of ``sample_docs`` documents,
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +35,7 @@ BASE_KINDS = KINDS[:4]
 SAMPLE_DOCS = 2000
 SAMPLE_CANDIDATES = 20_000
 PRECISION = 0.98
+JUDGED = 4096
 
 # Fixed patterns of the base spans.
 EMAIL_HOST = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -43,7 +46,12 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 # Loose generators.
 DIGIT = re.compile(r"[0-9]")
-NUMBER = re.compile(r"(?<![0-9A-Za-z])\(?[0-9][0-9\x20()./:-]{5,26}[0-9](?![0-9A-Za-z])")
+NUMBER = re.compile(r"[0-9][0-9\x20()./:-]{5,}[0-9]")
+GROUP = re.compile(r"[0-9]+")
+LETTER = re.compile(r"[A-Za-z]")
+LONGEST = 28
+DIGITS_BEFORE = re.compile(r"[0-9][\x20()./:-]{1,3}\Z")
+DIGITS_AFTER = re.compile(r"[\x20()./:-]{1,3}[0-9]")
 DISGUISED = re.compile(r"\x20?[(\[{<]\x20?at\x20?[)\]}>]\x20?[A-Za-z0-9-]{1,63}(?:\x20?(?:\.|[(\[{<]\x20?dot\x20?[)\]}>])\x20?[A-Za-z0-9-]{2,63}){1,4}", re.I)
 IPV6 = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4})(?![0-9A-Za-z:])")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
@@ -99,6 +107,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def numbers(text: str) -> Iterator[tuple[int, int, int]]:
+    """(start, end, digits) of each run of whole digit groups of 7 to 19 digits; a letter at a border bars it."""
+    for run in NUMBER.finditer(text):
+        groups = [m.span() for m in GROUP.finditer(text, run.start(), run.end())]
+        for i, (first, _) in enumerate(groups):
+            if first and LETTER.match(text, first - 1):
+                continue
+            opened = text[first - 1 : first] == "(" and not re.match("[0-9A-Za-z]", text[max(first - 2, 0) : first - 1])
+            n = 0
+            for start, end in groups[i : i + 19]:
+                n += end - start
+                if n > 19 or end - first > LONGEST:
+                    break
+                if n >= 7 and not LETTER.match(text, end):
+                    yield first - opened, end, n
+
+
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) that the loose generators propose; spans may overlap."""
     out = []
@@ -109,12 +134,11 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
             if start < m.start():
                 out.append((start, 0, m.end()))
     if DIGIT.search(text):
-        for m in NUMBER.finditer(text):
-            n = len(digits_of(m[0]))
-            if 7 <= n <= 15:
-                out.append((m.start(), 3, m.end()))
-            if 12 <= n <= 19:
-                out.append((m.start(), 2, m.end()))
+        for start, end, n in numbers(text):
+            if n <= 15:
+                out.append((start, 3, end))
+            if n >= 12:
+                out.append((start, 2, end))
         if text.count(":") > 1:
             out += [(m.start(), 1, m.end()) for m in IPV6.finditer(text)]
         out += [(m.start(), 4, m.end()) for m in IBAN.finditer(text)]
@@ -152,6 +176,8 @@ def features(text: str, start: int, kind: int, end: int) -> list[float]:
         float(edge == "+"),
         float(edge.isspace() or edge in ("", "\"", "'", "<", "(", ":")),
         float(after == "" or after.isspace() or after in ".,;:)>\"'"),
+        float(bool(DIGITS_BEFORE.search(text[max(0, start - 4) : start]))),
+        float(bool(DIGITS_AFTER.match(text, end))),
         *(float(bool(c.search(before))) for c in CUES),
     ]
 
@@ -189,6 +215,16 @@ def examples(count: int = 400, seed: int = 5) -> list[tuple[str, int, int, int,
         before = f"{word()} {before}"
         out.append((f"{before}{span} {word()}", len(before), kind, len(before) + len(span), personal))
 
+    def beside(before: str, *spans: tuple[int, str]) -> None:
+        """Numbers side by side: all runs of their groups but the spans themselves are not personal."""
+        text, true = f"{word()} {before}", set()
+        for i, (kind, span) in enumerate(spans):
+            text += some([" ", " / ", " - "]) if i else ""
+            true.add((len(text), kind, len(text) + len(span)))
+            text += span
+        text += f" {word()}"
+        out.extend((text, *c, int(c in true)) for c in candidates(text))
+
     for _ in range(count):
         add(3, national(), some(lead[3]), 1)
         add(2, card(), some(lead[2]), 1)
@@ -205,6 +241,11 @@ def examples(count: int = 400, seed: int = 5) -> list[tuple[str, int, int, int,
         add(3, f"{n(4)} - {n(4)}", some(["year ", "pages "]), 0)
         add(1, f"{n(2)}:{n(2)}:{n(2)}", some(["at ", ""]), 0)
         add(4, f"{some(['AB', 'XY', 'NO', 'ID'])}{n(2)} {n(4)} {n(4)}", some(against), 0)
+        beside(some(lead[3]), (3, national()), (3, national()))
+        full = digits_of(card())
+        full = some([full, *(c.join(full[i : i + 4] for i in range(0, 16, 4)) for c in " -")])
+        beside(some(lead[2]), (2, full), (-1, some([f"{n(2)}/{n(2)}", n(3), n(4)])))
+        beside(some(lead[3]), (3, national()), (-1, date()))
     return out
 
 
@@ -229,27 +270,53 @@ class Judge:
             self.least.append(max(0.5, float(score[fit[-1]] + below) / 2) if len(fit) else 2.0)
 
     def extra(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Selected spans that touch no base span, nor each other: the longer goes first, then the likelier."""
-        found = [c for c in candidates(text) if not any(c[0] < e and s < c[2] for s, _, e in base)]
-        if not found:
-            return []
-        p = self.trees.probability(np.array([features(text, *c) for c in found], dtype=float))
-        out: list[tuple[int, int, int]] = []
-        for i in sorted(range(len(found)), key=lambda i: (found[i][0] - found[i][2], -p[i], found[i])):
-            c = found[i]
-            if p[i] >= self.least[c[1]] and not any(c[0] < e and s < c[2] for s, _, e in out):
-                out.append(c)
-        return out
+        """Selected spans that no base span holds, apart from each other, the likeliest by length in all."""
+        starts, reach = [b[0] for b in base], np.maximum.accumulate([b[2] for b in base] or [0]).tolist()
+
+        def held(c: tuple[int, int, int]) -> bool:
+            i = bisect_right(starts, c[0])
+            return i > 0 and c[2] <= reach[i - 1]
+
+        found = [c for c in candidates(text) if not held(c)]
+        good = []
+        for i in range(0, len(found), JUDGED):
+            some = found[i : i + JUDGED]
+            p = self.trees.probability(np.array([features(text, *c) for c in some], dtype=float)).tolist()
+            good += [(c, x) for c, x in zip(some, p, strict=True) if x >= self.least[c[1]]]
+        return _apart(good)
+
+
+def _apart(spans: list[tuple[tuple[int, int, int], float]]) -> list[tuple[int, int, int]]:
+    """Spans that don't overlap, with the greatest sum of length times probability."""
+    spans = sorted(spans, key=lambda s: (s[0][2], s[0]))
+    ends, best, taken = [s[0][2] for s in spans], [0.0], []
+    for (start, _, end), p in spans:
+        before = bisect_right(ends, start, hi=len(taken))
+        with_it = best[before] + p * (end - start)
+        taken.append(before if with_it > best[-1] else None)
+        best.append(max(with_it, best[-1]))
+    out, i = [], len(spans)
+    while i:
+        i -= 1
+        if taken[i] is not None:
+            out.append(spans[i][0])
+            i = taken[i]
+    return out[::-1]
 
 
 def _weak(text: str) -> list[tuple[list[float], int]]:
     """Candidates of a corpus text that are clearly personal or clearly not."""
-    base = {(s, e) for s, _, e in base_spans(text)}
-    ends = {e for _, e in base}
+    base = base_spans(text)
+    exact = {(s + (text[s] == "+"), e) for s, _, e in base}
+    # A run that shares digits with a base span, but isn't it, has the wrong borders.
+    starts, reach = [b[0] for b in base], np.maximum.accumulate([b[2] for b in base] or [0]).tolist()
     out = []
     for s, k, e in candidates(text):
-        if (s, e) in base or e in ends:
+        i = bisect_right(starts, e - 1)
+        if (s, e) in exact:
             out.append((features(text, s, k, e), 1))
+        elif i and reach[i - 1] > s:
+            out.append((features(text, s, k, e), 0))
         elif DATE.match(text[s:e]) or VERSION.match(text[s:e]):
             out.append((features(text, s, k, e), 0))
     return out

@@ -92,3 +92,33 @@ def test_odd_rows(documents):
     assert found.columns == [*docs.columns, "found"] and found.count() == len(odd_rows())
     assert found.where(F.col("found.redacted") != F.coalesce("text", F.lit(""))).count() == 0
     assert private.personal_data(docs.where("false")).count() == 0
+
+
+def test_numbers_side_by_side_are_all_redacted(documents):
+    rows = [
+        (1, "please call 555-123-4567 555-987-6543 today", "s"),
+        (2, "tel 555-123-4567 / 555-987-6543 or write", "s"),
+        (3, "paid by card 4111 1111 1111 1111 12/27 yesterday", "s"),
+        (4, "call (212) 555-0188 2024-05-06 again", "s"),
+    ]
+    found = {r.doc_id: r.found.redacted for r in private.personal_data(documents(rows)).collect()}
+    for i in (1, 2):
+        assert not re.search("[0-9]{3}", found[i]) and found[i].count("[PHONE]") == 2
+    assert "[CARD]" in found[3] and "1111" not in found[3]
+    assert "[PHONE]" in found[4] and "0188" not in found[4]
+
+
+def test_all_runs_of_digit_groups_are_proposed():
+    text = "x 12 345-6789 (212) 555.0188 4111 1111 1111 1111 12/27 2024-05-06 a77 1234567b 0612 34 56 78 90"
+    proposed = {(s, e) for s, _, e in private.candidates(text)}
+    for span in ("12 345-6789", "345-6789", "(212) 555.0188", "4111 1111 1111 1111", "1111 12/27", "2024-05-06", "0612 34 56 78 90"):
+        at = text.index(span)
+        assert (at, at + len(span)) in proposed
+    assert not any(text[e : e + 1].isalpha() or text[s - 1].isalnum() for s, e in proposed)
+
+
+def test_spans_beyond_a_base_span_are_kept():
+    judge = private.Judge([(private.features(t, s, k, e), y) for t, s, k, e, y in private.examples()])
+    text = "bank DE89 3704 0044 0532 0130 00 thanks"
+    iban = (5, 4, 32)
+    assert judge.extra(text, [(10, 2, 32)]) == [iban] and judge.extra(text, [iban]) == []
