@@ -7,6 +7,11 @@ of words, cut into blocks of the same length; it starts anew where it ends.
 The k-th slot of a source takes the k-th block. Any run of slots has nearly the
 target shares, and nothing but sums per source reaches the driver.
 
+The points miss a target by a few blocks, and a small source may get no point at
+all. So each source's stream ends at its target, in whole words: the slot that
+reaches it is short, later ones are empty, and the blocks that got no slot come
+in further slots at the end.
+
 Running sums never put a source into one task: documents are summed per hash
 range first, the ranges' sums are added up, and the sums inside a range start
 from there. Slots are ranked in the same way.
@@ -103,11 +108,19 @@ class Mix:
             .withColumn("range", F.floor((F.col("place") / F.lit(2.0**64) + 0.5) * ranges))
         )
         goal_words = sum(goal)
-        self.slots = int(goal_words // block_words + (goal_words % block_words > 0))
+        self.points = int(goal_words // block_words + (goal_words % block_words > 0))
         self.most = most
-
-    def schedule(self) -> DataFrame:
-        """(slot, sid, block): the source of each slot and its rank among that source's slots."""
+        given = {r["sid"]: r["n"] for r in self._pointed().groupBy("sid").agg(F.count("*").alias("n")).collect()}
+        # (sid, blocks with a slot, blocks in all, first further slot) of each source that lacks blocks.
+        self.lacking, self.slots = [], self.points
+        for sid, _, _, want, _ in self.sources:
+            had, blocks = given.get(sid, 0), -(-round(want) // block_words)
+            if blocks > had:
+                self.lacking.append((sid, had, blocks, self.slots))
+                self.slots += blocks - had
+
+    def _pointed(self) -> DataFrame:
+        """(slot, sid, run, one): the source that each point names."""
         spark = self.rows.sparkSession
         whole = sum(t for *_, t, _ in self.sources) or 1.0
         point = F.pmod(F.col("id") * F.lit(GOLDEN), F.lit(1.0))
@@ -119,10 +132,19 @@ class Mix:
         # The number of sources whose cumulative share a point has passed names its source.
         passed = F.filter(F.array(*[F.lit(e) for _, e in edges[:-1]]).cast("array<double>"), lambda e: e <= point)
         pick = F.element_at(F.array(*[F.lit(sid) for sid, _ in edges]), F.size(passed) + 1)
-        slots = spark.range(self.slots).select(
+        return spark.range(self.points).select(
             F.col("id").alias("slot"), pick.alias("sid"), F.floor(F.col("id") / SLOT_RANGE).alias("run"), F.lit(1).alias("one")
         )
-        return running(slots, ["sid"], "run", ["slot"], "one", "block").select("slot", "sid", "block")
+
+    def schedule(self) -> DataFrame:
+        """(slot, sid, block): the source of each slot and its rank among that source's slots."""
+        slots = running(self._pointed(), ["sid"], "run", ["slot"], "one", "block").select("slot", "sid", "block")
+        if not self.lacking:
+            return slots
+        rows = self.rows.sparkSession.createDataFrame(self.lacking, "sid int, had long, blocks long, at long")
+        block = F.explode(F.sequence(F.col("had"), F.col("blocks") - 1)).alias("block")
+        further = rows.select("sid", "had", "at", block)
+        return slots.unionByName(further.select((F.col("at") + F.col("block") - F.col("had")).alias("slot"), "sid", "block"))
 
     def pieces(self) -> DataFrame:
         """(slot, sid, block, row, doc_id, source, place, size, lap, start, words): which words of a document a slot holds."""
@@ -130,13 +152,13 @@ class Mix:
         size, b = F.col("source_size"), self.block_words
         laps = begun.where("size > 0").withColumn("lap", F.explode(F.sequence(F.lit(0), F.lit(self.most - 1))))
         laps = laps.withColumn("from", F.col("before") + F.col("lap") * size)
-        # Laps and blocks beyond what the schedule can take have no slot; they are not made.
-        reach = F.least(size * self.most, F.ceil(F.col("target") * 1.01) + 64 * b)
-        laps = laps.where(F.col("from") < reach)
-        last = F.col("from") + F.col("size") - 1
+        # A stream ends at its target; laps and blocks beyond it are not made.
+        reach = F.rint("target").cast("long")
+        laps = laps.where(F.col("from") < reach).withColumn("until", F.least(F.col("from") + F.col("size"), reach))
+        last = F.col("until") - 1
         cut = laps.withColumn("block", F.explode(F.sequence(F.floor(F.col("from") / b), F.floor(last / b))))
         at = F.greatest(F.col("from"), F.col("block") * b)
-        end = F.least(F.col("from") + F.col("size"), (F.col("block") + 1) * b)
+        end = F.least(F.col("until"), (F.col("block") + 1) * b)
         cut = cut.select(
             "sid", "block", "row", "doc_id", "source", "place", "size", "lap", (at - F.col("from")).alias("start"), (end - at).alias("words")
         )

@@ -191,3 +191,29 @@ def test_terms_of_one_document_ask_for_nothing():
     docs = [np.r_[own[k], np.arange(k % 4 * 5, k % 4 * 5 + 5)][rng.permutation(55)] for k in range(20)]
     near = packing.Bm25(docs).neighbours(0, np.arange(20) == 0)
     assert near.tolist() == [4, 8, 12, 16]
+
+
+def test_small_sources_beside_a_huge_one_meet_their_targets(documents):
+    rng = random.Random(3)
+    sizes = {"a": 60_000, "y": 30, "z": 41, "b": 7, "c": 90, "d": 200, None: 1}
+    rows, i = [], 0
+    for source, size in sizes.items():
+        while size:
+            part = min(size, 1000)
+            rows.append((i, said(rng, part), source))
+            size, i = size - part, i + 1
+    docs = documents(rows)
+    plan = mixing.Mix(docs)
+    taken, goal = Counter(), {}
+    for r in plan.taken().collect():
+        taken[r.source] += r.taken
+        goal[r.source] = r.target
+    assert goal == pytest.approx(shared(sizes))
+    for source, want in goal.items():
+        assert abs(taken[source] - want) <= max(0.5, 0.01 * want)
+    assert {r.source for r in mixing.mixed(docs).select("source").distinct().collect()} == set(sizes)
+    slots = Counter()
+    for r in plan.pieces().collect():
+        slots[r.slot] += r.words
+    assert max(slots.values()) <= mixing.BLOCK_WORDS and max(slots) < plan.slots
+    assert sorted(r.slot for r in plan.schedule().collect()) == list(range(plan.slots))
