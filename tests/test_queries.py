@@ -1,15 +1,21 @@
 from __future__ import annotations
 
 import os
+import shutil
+import subprocess
+import sys
 
 import pytest
 
 import __spark_entry__ as entry
+from shelfsight.queries import all_queries, all_twins
 from twins import connect, differences
 
 SMALL = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
-TWINS = entry.oracle_sql()
+REPO = os.path.dirname(os.path.abspath(entry.__file__))
+# The operators for training data have tests, and twins, of their own.
+QUERIES = all_queries()
+TWINS = all_twins()
 
 pytestmark = pytest.mark.skipif(
     not os.path.isdir(SMALL), reason="the trade tables are not here"
@@ -34,6 +40,21 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
 
+@pytest.mark.parametrize("pipeline", [True, False])
+@pytest.mark.parametrize("empty_folder", [True, False])
+def test_everything_else_stands_without_the_training_data_operators(tmp_path, pipeline, empty_folder):
+    left_out = shutil.ignore_patterns("llm", "__pycache__", ".git", *([] if pipeline else ["corpus_pipeline.py"]))
+    copy = tmp_path / "copy"
+    shutil.copytree(REPO, copy, ignore=left_out)
+    if empty_folder:
+        (copy / "shelfsight" / "llm" / "__pycache__").mkdir(parents=True)
+    code = "import __spark_entry__ as e; print(*sorted(e.queries())); print(*sorted(e.oracle_sql()))"
+    env = {**os.environ, "PYTHONPATH": str(copy)}
+    run = subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, capture_output=True, text=True, check=True)
+    names, twins = run.stdout.splitlines()
+    assert names.split() == sorted(QUERIES) and twins.split() == sorted(TWINS)
+
+
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_twin_and_plan(spark, con, name):
     assert differences(spark, con, QUERIES[name], TWINS[name], SMALL) == []
