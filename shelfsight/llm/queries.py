@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfsight.llm import chat, language, licences, mixing, near_duplicates, neighbours, packing, private, quality, topk
+from shelfsight.llm import alignment, chat, language, licences, lines, mixing, near_duplicates, negatives, neighbours, packing, private, quality, topk
 from shelfsight.llm.common import table
 
 
@@ -84,6 +84,26 @@ def mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken.select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three hard negatives of each positive of every fiftieth vector; each seventh label is moved on by one first."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+
+
+def line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality rules of each document and its lines that too many documents of its source share."""
+    found = lines.line_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), texts=False)
+    names = [
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed", "left_words",
+    ]
+    return found.select("doc_id", *[F.col(f"rules.{n}").alias(n) for n in names])
+
+
+def tokenizer_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two vocabularies meet in each document."""
+    return alignment.link_counts(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_order_minhash": near_dedup,
     "op2_personal_data": pii,
@@ -95,6 +115,9 @@ QUERIES = {
     "op8_quality_ranking": quality_scores,
     "op9_bm25_packing": pack,
     "op10_source_schedule": mix,
+    "op11_packed_negatives": hard_negatives,
+    "op12_line_frequency": line_frequency,
+    "op13_identity_alignment": tokenizer_links,
     "language_pages": language_of_pages,
 }
 
@@ -114,4 +137,68 @@ TWINS = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op11_packed_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS alike,
+                   CAST(list_sum(list_transform(list_zip(a.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM v a JOIN v c ON a.vec_id <> c.vec_id AND len(a.v) = len(c.v) WHERE a.vec_id % 50 = 0
+        ), p AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE alike
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        ), n AS (
+            SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score,
+                   CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS INT) AS rank
+            FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.alike
+            WHERE 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score
+        )
+        SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+    """,
+    "op12_line_frequency": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), l AS (
+            SELECT r, source, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
+                   regexp_replace(lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))), '[0-9]+', '0', 'g') AS plain
+            FROM (SELECT r, source, unnest(string_split(text, chr(10))) AS line FROM d)
+            WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+        ), hosts AS (
+            SELECT source, count(*) AS held FROM d GROUP BY source
+        ), frequent AS (
+            SELECT f.source, f.plain
+            FROM (SELECT source, plain, count(DISTINCT r) AS found FROM l GROUP BY source, plain) f
+            JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source
+            WHERE found > 10 AND found > floor(held * 0.001)
+        ), gone AS (
+            SELECT l.r, sum(words) AS words, count(*) AS removed
+            FROM l JOIN frequent f ON l.source IS NOT DISTINCT FROM f.source AND l.plain = f.plain
+            GROUP BY l.r
+        ), dup AS (
+            SELECT r, count(*) - count(DISTINCT line) AS n FROM l GROUP BY r
+        ), runs AS (
+            SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS times
+            FROM (SELECT r, unnest(w[1:len(w) - 2]) AS a, unnest(w[2:len(w) - 1]) AS b, unnest(w[3:]) AS c,
+                         generate_subscripts(w[3:], 1) AS i FROM d WHERE len(w) > 2)
+        ), again AS (
+            SELECT r, count(DISTINCT p) AS n
+            FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM runs WHERE times > 1) GROUP BY r
+        ), m AS (
+            SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                   CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                   CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(again.n, 0) AS BIGINT) AS n_repeat_words,
+                   CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(len(w) - coalesce(gone.words, 0) AS BIGINT) AS left_words
+            FROM d LEFT JOIN dup USING (r) LEFT JOIN again USING (r) LEFT JOIN gone USING (r)
+        )
+        SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+               NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
+               AND (removed = 0 OR (left_words >= 50 AND 100 * left_words >= 50 * n_words)) AS kept
+        FROM m
+    """,
 }

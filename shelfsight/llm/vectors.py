@@ -8,11 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def valid(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding as doubles) of rows with an id and only finite components, one at least."""
+def valid(vectors: DataFrame, *more: str) -> DataFrame:
+    """(vec_id, embedding as doubles, ``more``) of rows with an id and only finite components, one at least."""
     finite = lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))), F.lit(False))
     rows = vectors.select(
-        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")
+        F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), *more
     )
     return rows.where("vec_id is not null and size(embedding) > 0").where(F.forall("embedding", finite))
 
