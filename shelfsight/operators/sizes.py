@@ -123,9 +123,9 @@ def size_extent(
 
 
 def size_leaders(df: DataFrame, n: int = 10, by: Sequence[str] = ()) -> DataFrame:
-    """Best-selling sized listings."""
+    """Best-selling sized listings, with the brand and parent they belong to."""
     leaders = top_n(df, [F.desc("units"), F.asc("asin")], n, by)
-    shown = [c for c in ("asin", "title") if c in df.columns]
+    shown = [c for c in ("asin", "title", "brand", "parent_asin") if c in df.columns]
     return leaders.select(*by, *shown, "units", "est_revenue", *SIDES)
 
 
