@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfsight.functions.numbers import share_of
-from shelfsight.operators.common import attach, group, money_sum, top_n
+from shelfsight.operators.common import attach, group, money_sum, top_n, total_money
 
 
 def brand_revenue(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -16,7 +16,7 @@ def brand_revenue(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     brands = df.groupBy(*by, "brand").agg(
         money_sum(F.col("monthly_revenue")).alias("revenue")
     )
-    total = group(brands, by).agg(money_sum(F.col("revenue")).alias("market_revenue"))
+    total = group(brands, by).agg(total_money(F.col("revenue")).alias("market_revenue"))
     return attach(brands, total, by).withColumn(
         "share_pct", share_of(F.col("revenue"), F.col("market_revenue"))
     )
@@ -46,7 +46,7 @@ def concentration(
         total.alias("total_revenue"),
         *[
             share_of(
-                money_sum(F.when(F.col("place") <= n, F.col("revenue"))), total
+                total_money(F.when(F.col("place") <= n, F.col("revenue"))), total
             ).alias(f"cr{n}")
             for n in sizes
         ],

@@ -83,6 +83,12 @@ def money_sum(c: Column) -> Column:
     return F.coalesce(cents_sum(c).cast("double"), F.lit(0.0)) / 100
 
 
+def total_money(c: Column) -> Column:
+    """Sum of money that is itself a sum, which may pass what one row counts for; 0 over no rows."""
+    whole = F.round(c * 100).try_cast("decimal(38,0)")
+    return F.coalesce(F.sum(whole).cast("double"), F.lit(0.0)) / 100
+
+
 def money_avg(c: Column) -> Column:
     """Mean of money from its exact sum; NULL over no rows."""
     return F.try_divide(cents_sum(c).cast("double") / 100, F.count(c))
@@ -133,7 +139,7 @@ def magnitude_bin(value: Column) -> Column:
     It depends on the value alone, so every task and every retry agrees. There
     are at most 256 bins per power of two, which bounds the bins per market.
     """
-    size = F.log2(F.abs(value) + 1) * BINS_PER_OCTAVE
+    size = F.log2(F.abs(value.cast("double")) + 1) * BINS_PER_OCTAVE
     # Never NULL, so that joining on the bin adds no filter to one branch only.
     return F.coalesce(F.floor(F.signum(value) * size), F.lit(0))
 
@@ -194,19 +200,33 @@ def running_totals(
     )
 
 
+def _holds(rank: Column) -> Column:
+    return (F.col("before_n") <= rank) & (rank < F.col("before_n") + F.col("n"))
+
+
 def value_at(rank: Column) -> Column:
     """Aggregate: the value at a 0-based rank of a ``running_totals`` result."""
-    here = (F.col("before_n") <= rank) & (rank < F.col("before_n") + F.col("n"))
-    return F.max(F.when(here, F.col("value")))
+    return F.max(F.when(_holds(rank), F.col("value")))
+
+
+def total_at(rank: Column, c: str) -> Column:
+    """Aggregate: the sum of a measure over the values up to the one at a 0-based rank."""
+    here = F.col(f"before_{c}") + F.coalesce(F.col(c), F.lit(0))
+    return F.max(F.when(_holds(rank), here))
 
 
 def quantiles_of(
-    hist: DataFrame, probabilities: dict[str, float], by: Sequence[str] = ()
+    hist: DataFrame,
+    probabilities: dict[str, float],
+    by: Sequence[str] = (),
+    totals: Sequence[str] = (),
 ) -> DataFrame:
     """Exact quantiles of a histogram, linear between neighbouring ranks.
 
     Equal to sorting all values and interpolating, but no task ever holds the
-    values of a whole market. One row per market; NULLs when it is empty.
+    values of a whole market. One row per market; NULLs when it is empty. For
+    each measure of ``totals`` there is ``<name>_<measure>``, its sum over the
+    values up to the quantile, and ``all_<measure>``.
     """
     ends, exact = [], []
     last = F.col("all_n") - 1
@@ -215,28 +235,43 @@ def quantiles_of(
         for p in probabilities.values()
         for rank in (F.floor(last * p), F.least(F.floor(last * p) + 1, last))
     ]
-    ranked = running_totals(hist, ["n"], by, ranks=ranks)
+    ranked = running_totals(hist, ["n", *totals], by, ranks=ranks)
     for name, p in probabilities.items():
         rank = F.floor(last * p)
         ends += [
             value_at(rank).alias(f"{name}_lo"),
             value_at(F.least(rank + 1, last)).alias(f"{name}_hi"),
             F.max(last * p - rank).alias(f"{name}_part"),
+            # No value lies between the neighbours, so the lower one ends the sum.
+            *[total_at(rank, c).alias(f"{name}_{c}") for c in totals],
         ]
-        lo, hi, part = (F.col(f"{name}_{x}") for x in ("lo", "hi", "part"))
-        exact.append((lo + (hi - lo) * part).alias(name))
+        lo, hi = (F.col(f"{name}_{x}").cast("double") for x in ("lo", "hi"))
+        exact.append((lo + (hi - lo) * F.col(f"{name}_part")).alias(name))
+        exact += [F.col(f"{name}_{c}") for c in totals]
+    ends += [F.max(f"all_{c}").alias(f"all_{c}") for c in totals]
+    exact += [F.col(f"all_{c}") for c in totals]
     return group(ranked, by).agg(*ends).select(*by, *exact)
 
 
+def span_below(hist: DataFrame, p: float, by: Sequence[str] = ()) -> DataFrame:
+    """Per market of a histogram, the least value, the greatest up to quantile ``p`` and the rows between, both included."""
+    rank = F.floor((F.col("all_n") - 1) * p)
+    ranked = running_totals(hist, ["n"], by, ranks=[F.lit(0), rank])
+    return group(ranked, by).agg(
+        value_at(F.lit(0)).alias("least"), value_at(rank).alias("most"), total_at(rank, "n").alias("rows")
+    )
+
+
 def equal_width_bins(
     hist: DataFrame, bins: int, by: Sequence[str] = ()
 ) -> DataFrame:
     """Counts in equal-width bins from minimum to maximum of a histogram."""
     span = group(hist, by).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    width = F.try_divide(F.col("hi") - F.col("lo"), F.lit(bins))
+    lo, hi, value = (F.col(c).cast("double") for c in ("lo", "hi", "value"))
+    width = F.try_divide(hi - lo, F.lit(bins))
     place = F.coalesce(
         F.least(
-            F.floor(F.try_divide(F.col("value") - F.col("lo"), width)),
+            F.floor(F.try_divide(value - lo, width)),
             F.lit(bins - 1),
         ),
         F.lit(0),

@@ -16,24 +16,30 @@ from shelfsight.operators.common import (
     money_avg,
     money_sum,
     top_n,
+    total_money,
 )
 
 
-def kpi_columns(df: DataFrame) -> list[Column]:
-    """Aggregates of the market headline."""
+def kpi_parts(df: DataFrame) -> dict[str, Column]:
+    """Aggregates of the market headline by name."""
     growth = (
         F.avg(F.col("growth_rate") * 100) if "growth_rate" in df.columns else F.lit(0.0)
     )
-    return [
-        F.count(F.lit(1)).alias("products"),
-        F.avg("monthly_units").alias("avg_units"),
-        F.coalesce(F.sum("monthly_units"), F.lit(0)).alias("total_units"),
-        money_avg(F.col("monthly_revenue")).alias("avg_revenue"),
-        money_sum(F.col("monthly_revenue")).alias("total_revenue"),
-        money_avg(F.col("price")).alias("avg_price"),
-        growth.alias("avg_growth_pct"),
-        F.max("monthly_units").alias("max_units"),
-    ]
+    return {
+        "products": F.count(F.lit(1)),
+        "avg_units": F.avg("monthly_units"),
+        "total_units": F.coalesce(F.sum("monthly_units"), F.lit(0)),
+        "avg_revenue": money_avg(F.col("monthly_revenue")),
+        "total_revenue": money_sum(F.col("monthly_revenue")),
+        "avg_price": money_avg(F.col("price")),
+        "avg_growth_pct": growth,
+        "max_units": F.max("monthly_units"),
+    }
+
+
+def kpi_columns(df: DataFrame) -> list[Column]:
+    """Aggregates of the market headline."""
+    return [c.alias(name) for name, c in kpi_parts(df).items()]
 
 
 def market_kpis(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -69,7 +75,7 @@ def newness_revenue(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         money_sum(F.col("monthly_revenue")).alias("revenue"),
         money_avg(F.col("monthly_revenue")).alias("avg_revenue"),
     )
-    total = group(split, by).agg(money_sum(F.col("revenue")).alias("_total"))
+    total = group(split, by).agg(total_money(F.col("revenue")).alias("_total"))
     return (
         attach(split, total, by)
         .withColumn("share_pct", share_of(F.col("revenue"), F.col("_total")))
@@ -82,8 +88,9 @@ def newcomer_columns(df: DataFrame) -> list[Column]:
     is_new = F.col("newness").contains(NEW_LABEL_SHORT)
     revenue = F.col("monthly_revenue")
     new_revenue = F.when(is_new, revenue)
+    one_if_new = F.when(is_new, 1)
     return [
-        F.count_if(is_new).alias("new_products"),
+        F.count(one_if_new).alias("new_products"),
         money_avg(new_revenue).alias("new_avg_revenue"),
         share_of(money_sum(new_revenue), money_sum(revenue)).alias("new_share_pct"),
     ]
@@ -115,7 +122,7 @@ def rating_columns(df: DataFrame) -> list[Column]:
     rating, reviews, low = F.lit(0.0), F.lit(0.0), F.lit(0)
     if "rating" in df.columns:
         rating = F.avg("rating")
-        low = F.count_if(F.col("rating") < LOW_RATING)
+        low = F.count(F.when(F.col("rating") < LOW_RATING, 1))
     if "rating_count" in df.columns:
         reviews = F.avg("rating_count")
     return [

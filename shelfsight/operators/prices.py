@@ -4,17 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfsight.functions.bands import range_label
 from shelfsight.functions.numbers import cents, share_of
 from shelfsight.operators.common import (
     attach,
+    cents_sum,
     equal_width_bins,
-    group,
     histogram,
     quantiles_of,
+    span_below,
     top_n,
 )
 
@@ -27,40 +28,43 @@ def price_bins(
     """Mean revenue and listing count in ten equal price bins.
 
     Prices above the 99th percentile are left out. Everything after the first
-    aggregation works on one row per distinct price.
+    aggregation works on one row per distinct price; all that the bins need to
+    know of their market is one row, attached once.
     """
     priced = df.where((F.col(price) > 0) & (F.col(revenue) > 0))
-    prices = histogram(
+    counted = histogram(
         priced,
         cents(F.col(price)),
         by,
-        revenue_cents=F.sum(cents(F.col(revenue))),
+        revenue_cents=cents_sum(F.col(revenue)),
         ids=F.count("asin"),
     )
-    top = quantiles_of(prices, {"_p99": 0.99}, by)
-    usual = attach(prices, top, by).where(F.col("value") <= F.col("_p99")).drop("_p99")
-    span = group(usual, by).agg(
-        F.floor(F.min("value") / 100).alias("_lo"),
-        F.ceil(F.max("value") / 100).alias("_hi"),
-        F.sum("n").alias("_rows"),
+    span = span_below(counted, 0.99, by).select(
+        *by,
+        F.floor(F.col("least") / 100).alias("_lo"),
+        F.ceil(F.col("most") / 100).alias("_hi"),
+        F.col("most").alias("_most"),
+        F.col("rows").alias("_rows"),
     )
     # Bin numbers come from whole cents: a price on an edge stays below it.
     width = F.when(F.col("_hi") == F.col("_lo"), PRICE_BINS).otherwise(
         F.col("_hi") - F.col("_lo")
     )
+    above = F.col("value").cast("double") - F.col("_lo").cast("double") * 100
     place = F.greatest(
-        F.ceil((F.col("value") - F.col("_lo") * 100) * PRICE_BINS / (width * 100)),
-        F.lit(1),
+        F.ceil(above * PRICE_BINS / (width.cast("double") * 100)), F.lit(1)
     )
     lo = F.col("_lo") + (F.col("bin") - 1) * width / PRICE_BINS
     hi = F.col("_lo") + F.col("bin") * width / PRICE_BINS
     return (
-        attach(usual, span, by)
-        .where(F.col("_rows") > 1)
+        attach(counted, span, by)
+        .where((F.col("value") <= F.col("_most")) & (F.col("_rows") > 1))
         .withColumn("bin", place)
         .groupBy(*by, "bin", lo.alias("bin_lo"), hi.alias("bin_hi"))
         .agg(
-            (F.sum("revenue_cents") / 100 / F.sum("n")).alias("avg_revenue"),
+            (F.sum("revenue_cents").cast("double") / 100 / F.sum("n")).alias(
+                "avg_revenue"
+            ),
             F.sum("ids").alias("listings"),
         )
         .withColumn("price_range", range_label(F.col("bin_lo"), F.col("bin_hi")))
@@ -74,24 +78,23 @@ def best_price_bin(bins: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 def price_tiers(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Quartile prices and the share of units in the low, mid and high tier."""
-    prices = histogram(
+    counted = histogram(
         df, cents(F.col("price")), by, units=F.sum("monthly_units")
     )
-    quarters = quantiles_of(prices, {"_p25": 0.25, "_p75": 0.75}, by)
-    tiered = attach(prices, quarters, by)
-    value = F.col("value")
-
-    def units(where: Column) -> Column:
-        return F.coalesce(F.sum(F.when(where, F.col("units"))), F.lit(0))
-
-    total = F.coalesce(F.sum("units"), F.lit(0))
-    low, high = value <= F.col("_p25"), value > F.col("_p75")
-    return group(tiered, by).agg(
-        (F.max("_p25") / 100).alias("p25"),
-        (F.max("_p75") / 100).alias("p75"),
-        share_of(units(low), total).alias("low_pct"),
-        share_of(units(~low & ~high), total).alias("mid_pct"),
-        share_of(units(high), total).alias("high_pct"),
+    return tiers_of(counted, by)
+
+
+def tiers_of(counted: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Price tiers of a histogram of cents with ``units``."""
+    quarters = quantiles_of(counted, {"_p25": 0.25, "_p75": 0.75}, by, ["units"])
+    total, low, usual = F.col("all_units"), F.col("_p25_units"), F.col("_p75_units")
+    return quarters.select(
+        *by,
+        (F.col("_p25") / 100).alias("p25"),
+        (F.col("_p75") / 100).alias("p75"),
+        share_of(low, total).alias("low_pct"),
+        share_of(usual - low, total).alias("mid_pct"),
+        share_of(total - usual, total).alias("high_pct"),
     )
 
 

@@ -18,6 +18,7 @@ from shelfsight.operators.common import (
     number_in,
     quantiles_of,
     top_n,
+    total_money,
     with_once,
 )
 
@@ -59,7 +60,7 @@ def size_bands(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
             money_sum(F.col("est_revenue")).alias("revenue"),
         )
     )
-    total = group(bands, by).agg(money_sum(F.col("revenue")).alias("_total"))
+    total = group(bands, by).agg(total_money(F.col("revenue")).alias("_total"))
     return (
         attach(bands, total, by)
         .withColumn("share_pct", share_of(F.col("revenue"), F.col("_total")))
