@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +31,11 @@ from pyspark.sql import functions as F
 from shelfsight.llm.common import batches, small_batches, stored, text_of
 
 FREQUENT = 100_000
-CHUNK = 1 << 18  # Characters that the encoders are given at once.
+CHUNK = 1 << 18  # Letters that the encoders are given at once.
+KNOWN = 250_000
+KNOWN_LETTERS = 1 << 22
+CUT = re.compile(r"(?<=\S) (?=\S)")
+ID = np.uint32
 NONE = -1
 
 
@@ -48,7 +53,13 @@ def byte_letters() -> dict[str, int]:
 
 
 class Coders:
-    """Both encoders, the bytes of their tokens, and the B id with the bytes of each A id."""
+    """Both encoders, the bytes of their tokens, and the B id with the bytes of each A id.
+
+    A cuts a text before each blank that a letter follows, and no piece of B holds a
+    blank after a letter. So the parts of a text between blanks that stand alone
+    have ids of their own, whatever surrounds them. Words repeat: a part is encoded
+    once, until ``KNOWN`` parts or ``KNOWN_LETTERS`` are held.
+    """
 
     def __init__(self, paths: dict[str, str]):
         from sentencepiece import SentencePieceProcessor
@@ -70,6 +81,9 @@ class Coders:
         for i in sorted(range(len(self.b)), key=self.second.is_byte):
             same.setdefault(self.b[i], i)
         self.same = np.array([same.get(t, NONE) if t else NONE for t in self.a], dtype=np.int64)
+        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        self.held = 0
+        self.numbers = [f"{i}{mark}" for mark in ",|;" for i in range(max(len(self.a), len(self.b)))]
         self.a_size = np.array([len(t) for t in self.a], dtype=np.int64)
         self.b_size = np.array([len(t) for t in self.b], dtype=np.int64)
 
@@ -81,23 +95,58 @@ class Coders:
 
     def encoded(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """A and B ids of each text; none where the bytes of either are not a blank and the text."""
-        at = 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= CHUNK):
-                size += len(texts[end])
-                end += 1
-            some = texts[at:end]
-            first = self.first.encode_batch_fast([" " + t for t in some], add_special_tokens=False)
-            second = self.second.encode(some, num_threads=1)
-            for text, x, y in zip(some, first, second, strict=True):
-                yield self._checked(text, x.ids, y)
-            at = end
-
-    def _checked(self, text: str, x: list[int], y: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.known) > KNOWN or self.held > KNOWN_LETTERS:
+            self.known, self.held = {}, 0
+        split = [CUT.split(t) if t else [] for t in texts]
+        self._learn({p for parts in split for p in parts} - self.known.keys())
+        for parts in split:
+            found = [self.known[p] for p in parts]
+            fits = None not in found
+            yield tuple(np.frombuffer(b"".join([f[i] for f in found] if fits else []), dtype=ID).astype(np.int64) for i in (0, 1))
+
+    def _learn(self, parts: set[str]) -> None:
+        """Put the ids of parts into ``known``, as bytes; None where the bytes of the tokens are not those of the part."""
+        self.held += sum(map(len, parts))
+        run, size = [], 0
+        for part in parts:
+            # At a blank between two letters both vocabularies cut, so such parts can be encoded in one go.
+            if part != part.strip():
+                self.known[part] = self._alone(part)
+                continue
+            run.append(part)
+            size += len(part)
+            if size > CHUNK:
+                self._together(run)
+                run, size = [], 0
+        if run:
+            self._together(run)
+
+    def _ids(self, text: str) -> tuple[list[int], list[int]] | None:
+        x = self.first.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
+        y = self.second.encode(text)
         want = (" " + text).encode()
-        fits = text and b"".join([self.a[i] for i in x]) == want and b"".join([self.b[i] for i in y]) == want
-        return np.array(x if fits else [], dtype=np.int64), np.array(y if fits else [], dtype=np.int64)
+        spelled = (b"".join(map(spell.__getitem__, ids)) for spell, ids in ((self.a, x), (self.b, y)))
+        return (x, y) if all(s == want for s in spelled) else None
+
+    def _alone(self, part: str) -> tuple[bytes, bytes] | None:
+        ids = self._ids(part)
+        return ids and tuple(np.array(i, dtype=ID).tobytes() for i in ids)
+
+    def _together(self, parts: list[str]) -> None:
+        ends = np.cumsum([len(p.encode()) + 1 for p in parts])
+        ids = self._ids(" ".join(parts))
+        sides = []
+        for found, size in zip(ids or (), (self.a_size, self.b_size), strict=bool(ids)):
+            reach = np.cumsum(size[found])
+            last = np.searchsorted(reach, ends)
+            if (reach[last] == ends).all():
+                cuts = ID().itemsize * np.concatenate([[0], last + 1])
+                whole = np.array(found, dtype=ID).tobytes()
+                sides.append([whole[i:j] for i, j in zip(cuts, cuts[1:], strict=False)])
+        if len(sides) == 2:
+            self.known.update(zip(parts, zip(*sides, strict=True), strict=True))
+        else:
+            self.known.update((p, self._alone(p)) for p in parts)
 
 
 @dataclass
@@ -115,18 +164,20 @@ class Meeting:
     pairs: np.ndarray  # a * (B ids) + b of all other links, and how often each.
     pair_times: np.ndarray
 
-    def written(self) -> str:
-        """The groups as ``a1,a2|b1;a3|b2,b3``."""
-        out = []
-        i = j = 0
-        a, b = list(map(str, self.a.tolist())), list(map(str, self.b.tolist()))
-        for p, q in zip(np.bincount(self.a_group).tolist(), np.bincount(self.b_group).tolist(), strict=True):
-            out.append(",".join(a[i : i + p]) + "|" + ",".join(b[j : j + q]))
-            i, j = i + p, j + q
-        return ";".join(out)
+    def written(self, numbers: list[str]) -> str:
+        """The groups as ``a1,a2|b1;a3|b2,b3``; ``numbers`` are those of ``Coders``, each with a comma, a bar and a semicolon."""
+        held = [np.concatenate([[0], np.cumsum(np.bincount(g, minlength=self.groups))]) for g in (self.a_group, self.b_group)]
+        third = len(numbers) // 3
+        place = np.zeros(len(self.a) + len(self.b), dtype=np.int64)
+        # The tokens of a group come after those of all groups before, A first; its last ones end the side.
+        place[np.arange(len(self.a)) + held[1][self.a_group]] = self.a
+        place[np.arange(len(self.b)) + held[0][self.b_group + 1]] = self.b
+        place[held[0][1:] + held[1][:-1] - 1] += third
+        place[held[0][1:] + held[1][1:] - 1] += 2 * third
+        return "".join(map(numbers.__getitem__, place.tolist()))[:-1]
 
-    def digest(self) -> str:
-        return hashlib.sha256(self.written().encode()).hexdigest() if self.groups else ""
+    def digest(self, numbers: list[str]) -> str:
+        return hashlib.sha256(self.written(numbers).encode()).hexdigest() if self.groups else ""
 
 
 def meeting(coders: Coders, a: np.ndarray, b: np.ndarray) -> Meeting:
@@ -167,7 +218,7 @@ class _Lazy:
 
 
 def _met(documents: DataFrame, paths: dict[str, str] | None) -> tuple[DataFrame, _Lazy]:
-    small_batches(documents.sparkSession)
+    small_batches(documents.sparkSession, size="4m")
     texts = documents.select("doc_id", text_of("text").alias("text"))
     return texts.withColumn("row", F.monotonically_increasing_id()), _Lazy(paths or tokenizer_paths())
 
@@ -213,7 +264,7 @@ def noted(documents: DataFrame, paths: dict[str, str] | None = None) -> DataFram
             out = []
             for a, b in coders().encoded(batch.column("text").to_pylist()):
                 m = meeting(coders(), a, b)
-                out.append((len(a), len(b), m.groups, m.links, m.digest(), m.same, m.same_times, m.pairs, m.pair_times))
+                out.append((len(a), len(b), m.groups, m.links, m.digest(coders().numbers), m.same, m.same_times, m.pairs, m.pair_times))
             columns = [batch.column("row"), batch.column("doc_id")]
             columns += [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds[2:], strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names)
