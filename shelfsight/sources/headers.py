@@ -147,17 +147,22 @@ def trim_headers(df: DataFrame) -> DataFrame:
     return df.toDF(*[name.strip() for name in df.columns])
 
 
-def dedupe_headers(df: DataFrame) -> DataFrame:
-    """Number headers that differ only in case, which Spark cannot tell apart."""
+def unique_headers(columns: Sequence[str]) -> list[str]:
+    """Number headers that repeat or differ only in case, which Spark cannot tell apart."""
     taken: set[str] = set()
     names = []
-    for name in df.columns:
+    for name in columns:
         candidate, n = name, 1
         while candidate.lower() in taken:
             candidate, n = f"{name}.{n}", n + 1
         taken.add(candidate.lower())
         names.append(candidate)
-    return df.toDF(*names)
+    return names
+
+
+def dedupe_headers(df: DataFrame) -> DataFrame:
+    """The columns under ``unique_headers``."""
+    return df.toDF(*unique_headers(df.columns))
 
 
 def rename_headers(df: DataFrame, mapping: dict[str, str]) -> DataFrame:

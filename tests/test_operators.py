@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -158,12 +159,13 @@ def test_merge_suffixes_and_missing_key(spark):
         merge.merge_history(listing, spark.createDataFrame([(1,)], "x int"))
 
 
-def test_merge_hot_ids_match_brute_force(spark):
+@pytest.mark.parametrize("rows_per_task", [merge.ROWS_PER_TASK, 8, 1])
+def test_merge_hot_ids_match_brute_force(spark, rows_per_task):
     left = [("HOT", f"l{i}") for i in range(60)] + [(f"B{i}", "l") for i in range(90)]
     right = [("HOT", None, f"h{i}") for i in range(70)] + [(f"B{i}", None, "h") for i in range(0, 90, 2)]
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        got = sorted(map(str, merged_rows(spark, left, right).collect()))
+        got = sorted(map(str, merged_rows(spark, left, right, rows_per_task=rows_per_task).collect()))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     by_id = {}
@@ -174,6 +176,35 @@ def test_merge_hot_ids_match_brute_force(spark):
     assert len(set(got)) == want
 
 
+def test_a_hot_history_id_is_split_and_rows_without_an_id_are_spread(spark):
+    history = spark.range(4000).selectExpr("IF(id < 3000, 'HOT', 'B' || id) AS asin", "'h' || id AS note")
+    listings = spark.range(3000).selectExpr("CASE WHEN id = 0 THEN ' HOT ' WHEN id > 999 THEN 'B' || id END AS asin", "'l' || id AS title")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        merged = merge.merge_history(listings, history, rows_per_task=300).withColumn("task", F.spark_partition_id())
+        per_task = merged.groupBy("task").agg(
+            F.count_if(F.col("asin") == "HOT").alias("hot"), F.count_if(F.col("asin").isNull()).alias("none")
+        ).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(r.hot for r in per_task) == 3000 and max(r.hot for r in per_task) < 1500
+    assert sum(r.none for r in per_task) == 999 and max(r.none for r in per_task) < 400
+
+
+def test_merge_reads_each_side_once(spark, tmp_path):
+    spark.range(100).selectExpr("'B' || id AS asin", "id AS left_value").write.parquet(str(tmp_path / "l"))
+    spark.range(100).selectExpr("'B' || id AS asin", "id AS right_value").write.parquet(str(tmp_path / "r"))
+    merged = merge.merge_history(spark.read.parquet(str(tmp_path / "l")), spark.read.parquet(str(tmp_path / "r")))
+    assert merged.count() == 100
+    text = merged._jdf.queryExecution().sparkPlan().toString()
+    assert len(re.findall(r"FileScan parquet \[[^]]*left_value", text)) == 1
+    assert len(re.findall(r"FileScan parquet \[[^]]*right_value", text)) == 1
+    # The sketch reads the ids of the history, and nothing reads the listings again.
+    assert len(re.findall(r"FileScan parquet", text)) <= 3 and text.count("Join") == 1
+
+
 # --- order statistics --------------------------------------------------------
 
 

@@ -79,15 +79,6 @@ def test_branches_share_one_shuffle(spark, name):
     assert "ReusedExchange" in final
 
 
-def test_merge_shares_the_shuffled_listings(spark):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        text = plan(QUERIES["merge_orders_lines"](spark, SMALL))
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert "ReusedExchange" in text
-
-
 def test_scans_read_only_used_columns(spark):
     text = plan(QUERIES["brand_list"](spark, SMALL))
     assert "p_retailprice" not in text

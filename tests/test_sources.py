@@ -112,3 +112,76 @@ def test_each_listing_column_may_be_absent(spark, absent):
     assert cleaned.count() == 1
     if absent in ("brand", "category"):
         assert cleaned.select(absent).collect()[0][0] == "Unknown"
+
+
+def test_headers_stay_as_written(spark, tmp_path):
+    text = "ASIN,Feature 1,Feature 2,Rank 1,x,x,X, y ,,Feature 1\n1,2,3,4,5,6,7,8,9,10\n"
+    df = files.read_csv(spark, write(tmp_path / "a.csv", text))
+    assert df.columns == ["ASIN", "Feature 1", "Feature 2", "Rank 1", "x", "x.1", "X.2", "y", "Unnamed: 8", "Feature 1.1"]
+    assert rows(df) == [tuple(str(i) for i in range(1, 11))]
+    assert rows(files.read_exports(spark, str(tmp_path / "a.csv"))) == rows(df)
+    history = headers.resolve_headers(["Description & Features: Feature 1", "Description & Features: Feature 2"])
+    assert history["feat1"].endswith("1") and history["feat2"].endswith("2")
+
+
+def test_an_inch_mark_does_not_make_a_file_one_task(spark, tmp_path):
+    text = 'ASIN,品牌\nB1,5" pipe\nB2,"a ""b"" c"\nB3,"x, ""y"""\nB4,""\n'
+    path = write(tmp_path / "a.csv", text)
+    ((_, multi_line, _),) = files.file_kinds(spark, path)
+    assert not multi_line
+    assert rows(files.read_exports(spark, path)) == [("B1", '5" pipe'), ("B2", 'a "b" c'), ("B3", 'x, "y"'), ("B4", None)]
+    ((_, multi_line, _),) = files.file_kinds(spark, write(tmp_path / "b.csv", 'ASIN,品牌\nB1,"5"" two\nlines"\n'))
+    assert multi_line
+
+
+def test_uniform_exports_of_both_charsets_are_read_once(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    want = [("B1", "红色瓶子", "$9.99", "牌"), ("B2", 'a "b", c', None, None)]
+    for encoding in ("utf-8", "utf-8-sig", "gbk", "gb18030"):
+        write(tmp_path / f"{encoding}.csv", TEXT, encoding)
+    seen = Observation()
+    df = files.read_uniform_exports(spark, str(tmp_path), observation=seen)
+    assert df.columns == ["ASIN", "商品标题", "价格($)", "品牌"]
+    assert rows(df) == sorted(want * 4, key=str)
+    # Rows of ASCII alone count as UTF-8.
+    assert seen.get == {"rows": 12, "gb18030": 4, "headers": 4, "broken": 0}
+    text = df._jdf.queryExecution().sparkPlan().toString()
+    assert text.count("FileScan csv") == 1 and "Exchange" not in text
+
+
+def test_uniform_exports_stop_at_what_they_cannot_tell(spark, tmp_path):
+    write(tmp_path / "a.csv", "ASIN,品牌,n\nB1,牌,1\n")
+    write(tmp_path / "b.csv", "品牌,ASIN,n\n子,B2,2\n", "gbk")
+    with pytest.raises(Exception, match="another header"):
+        files.read_uniform_exports(spark, str(tmp_path)).collect()
+    broken = write(tmp_path / "c.csv", 'ASIN,品牌,n\nB1,"two\nlines",3\n')
+    with pytest.raises(Exception, match="as many cells"):
+        files.read_uniform_exports(spark, broken).collect()
+    assert rows(files.read_uniform_exports(spark, broken, multi_line=True)) == [("B1", "two\nlines", "3")]
+    short = write(tmp_path / "d.csv", "ASIN,品牌,n\nB1\nB2,牌,1\n")
+    assert rows(files.read_uniform_exports(spark, short, strict=False)) == [("B1", None, None), ("B2", "牌", "1")]
+    (tmp_path / "e.csv").write_bytes(b"ASIN,n\n\xff\xff,1\n")
+    with pytest.raises(Exception):
+        files.read_uniform_exports(spark, str(tmp_path / "e.csv")).collect()
+
+
+def test_files_follow_the_bytes_of_their_market(spark, tmp_path):
+    df = spark.range(40_000).selectExpr("IF(id % 100 = 0, concat('m', id % 7), 'hot') AS market", "sha2(CAST(id AS STRING), 256) AS asin", "id AS n")
+    before = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files.write_table(df.repartition(16), str(tmp_path / "p"), by=["market"], file_size="500k")
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == before
+    per_market = {p.name: len(list(p.glob("*.parquet"))) for p in (tmp_path / "p").iterdir() if p.is_dir()}
+    assert 3 <= per_market.pop("market=hot") <= 14
+    # A small market may share the hot one's shuffle partition.
+    assert list(per_market.values()).count(1) >= 5 and len(per_market) == 7
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 40_000
+
+
+def test_csv_with_a_utf8_mark(spark, tmp_path):
+    df = spark.createDataFrame([("m1", "B1", "瓶"), ("m2", "B2", "x")], "market string, asin string, t string")
+    files.write_table(df, str(tmp_path / "c"), "csv", by=["market"], utf8_mark=True)
+    written = list((tmp_path / "c").glob("*/*.csv"))
+    assert len(written) == 2 and all(p.read_bytes().startswith(b"\xef\xbb\xbfasin,t\n") for p in written)
+    back = files.read_csv(spark, [str(p) for p in written])
+    assert back.columns == ["asin", "t"] and rows(back) == [("B1", "瓶"), ("B2", "x")]
