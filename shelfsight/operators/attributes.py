@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfsight.functions.numbers import cents
 from shelfsight.operators.common import (
+    cents_sum,
     histogram,
     money_avg,
     money_sum,
@@ -51,20 +54,23 @@ def attribute_groups(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def _per_market(df: DataFrame, attribute: str, by: Sequence[str]) -> DataFrame:
-    """As ``prepare_attribute``, each market by its own values; ``attr`` is text.
+def _same(by: Sequence[str]) -> Column:
+    return reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by])
 
-    ``_numeric`` says whether any value of the market reads as a number.
+
+def _decided(texts: DataFrame, attribute: str, by: Sequence[str]) -> DataFrame:
+    """Rows per market and raw value, each under the ``attr`` that its market makes of it.
+
+    ``_numeric`` says whether any value of the market reads as a number; then
+    ``attr`` is the whole positive number as text, and other values go. Only
+    such rows, never listings, meet the kind of their market.
     """
-    number = number_in(df, attribute)
-    kinds = df.groupBy(*by).agg(
+    number = number_in(texts, attribute)
+    kinds = texts.groupBy(*by).agg(
         F.coalesce(F.bool_or(number.isNotNull()), F.lit(False)).alias("_numeric")
     )
     kinds = kinds.toDF(*[f"_of_{c}" for c in by], "_numeric")
-    same = F.lit(True)
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
-    rows = df.withColumn("_number", F.bround(number, 0)).join(kinds, same)
+    rows = texts.withColumn("_number", F.bround(number, 0)).join(kinds, _same(by))
     whole = F.coalesce(
         F.col("_number").try_cast("decimal(38,0)").cast("string"),
         F.col("_number").cast("string"),
@@ -77,10 +83,32 @@ def _per_market(df: DataFrame, attribute: str, by: Sequence[str]) -> DataFrame:
     return rows.where(F.col("attr").isNotNull()).drop("_number", *dropped)
 
 
+def _groups_per_market(df: DataFrame, attribute: str, by: Sequence[str]) -> DataFrame:
+    """``attribute_groups`` per market and attribute, each market by its own kind; ``_numeric`` beside them."""
+    growth = F.col("growth_rate") * 100 if "growth_rate" in df.columns else F.lit(0.0)
+    texts = df.groupBy(*by, F.col(f"`{attribute}`").alias(attribute)).agg(
+        F.sum("monthly_units").alias("_units"),
+        cents_sum(F.col("monthly_revenue")).alias("_cents"),
+        F.sum(growth).alias("_growth"),
+        F.count(growth).alias("_grown"),
+        cents_sum(F.col("price")).alias("_price"),
+        F.count("price").alias("_priced"),
+        F.count("asin").alias("_listings"),
+    )
+    cents_of = F.sum(F.col("_cents").cast("decimal(38,0)")).cast("double")
+    price = F.sum(F.col("_price").cast("decimal(38,0)")).cast("double")
+    return _decided(texts, attribute, by).groupBy(*by, "_numeric", "attr").agg(
+        F.coalesce(F.sum("_units"), F.lit(0)).alias("units"),
+        (F.coalesce(cents_of, F.lit(0.0)) / 100).alias("revenue"),
+        F.try_divide(F.sum("_growth"), F.sum("_grown")).alias("avg_growth_pct"),
+        F.try_divide(price / 100, F.sum("_priced")).alias("avg_price"),
+        F.sum("_listings").alias("listings"),
+    )
+
+
 def _leaders_per_market(
-    prepared: DataFrame, by: Sequence[str], most_numeric: int, most_texts: int
+    groups: DataFrame, by: Sequence[str], most_numeric: int, most_texts: int
 ) -> DataFrame:
-    groups = attribute_groups(prepared, [*by, "_numeric"])
     value = F.when(F.col("_numeric"), F.col("attr").cast("double"))
     order = [F.desc("revenue"), value.asc(), F.asc("attr")]
     place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
@@ -106,7 +134,7 @@ def top_attributes(
     """
     if numeric is None and by:
         leaders = _leaders_per_market(
-            _per_market(df, attribute, by), by, most_numeric, most_texts
+            _groups_per_market(df, attribute, by), by, most_numeric, most_texts
         )
         value = F.when(F.col("_numeric"), F.col("attr").cast("double"))
         return leaders.orderBy(*by, value, F.desc("revenue"), "attr").drop("_numeric")
@@ -126,26 +154,26 @@ def attribute_price_box(
     ``numeric`` and the type of ``attr`` are as in ``top_attributes``.
     """
     if numeric is None and by:
-        prepared = _per_market(df, attribute, by)
-        leaders = _leaders_per_market(prepared, by, MAX_NUMERIC_GROUPS, MAX_TEXT_GROUPS)
-        leaders = leaders.select(*by, "attr")
+        groups = _groups_per_market(df, attribute, by)
+        leaders = _leaders_per_market(groups, by, MAX_NUMERIC_GROUPS, MAX_TEXT_GROUPS)
+        raw = histogram(df, cents(F.col("price")), [*by, attribute])
+        values = _decided(raw, attribute, by).groupBy(*by, "attr", "value")
+        # Several texts can stand for one number.
+        prices = values.agg(F.sum("n").alias("n")).where(F.col("n") > 0)
     else:
         if numeric is None:
             numeric = is_numeric_attribute(df, attribute)
         prepared = prepare_attribute(df, attribute, numeric)
-        leaders = top_attributes(df, attribute, numeric, by).select(*by, "attr")
-    if not by:
-        # A limit keeps this at 50 rows or fewer.
-        leaders = F.broadcast(leaders)
-    prices = histogram(prepared, cents(F.col("price")), [*by, "attr"])
+        leaders = top_attributes(df, attribute, numeric, by)
+        prices = histogram(prepared, cents(F.col("price")), [*by, "attr"])
+    leaders = leaders.select(*by, "attr")
     if by:
         leaders = leaders.toDF(*[f"_of_{c}" for c in by], "_attr")
-        same = F.col("attr") == F.col("_attr")
-        for c in by:
-            same = same & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+        same = (F.col("attr") == F.col("_attr")) & _same(by)
         prices = prices.join(leaders, same, "left_semi")
     else:
-        prices = prices.join(leaders, "attr", "left_semi")
+        # A limit keeps this at 50 rows or fewer.
+        prices = prices.join(F.broadcast(leaders), "attr", "left_semi")
     box = quantiles_of(
         prices,
         {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 1.0},

@@ -5,7 +5,8 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfsight.config import NEW_LABEL_SHORT, UNKNOWN
@@ -135,17 +136,34 @@ def short_newness(df: DataFrame) -> DataFrame:
     return df.withColumn("newness", flag)
 
 
+def row_place(df: DataFrame) -> Column:
+    """Where a row stands: its file, the block of it and its place among the rows read.
+
+    Tables that do not come straight from files have only the last.
+    """
+    line = F.monotonically_increasing_id()
+    try:
+        df.select("_metadata.file_path")
+    except AnalysisException:
+        return F.struct(line.alias("line"))
+    return F.struct("_metadata.file_path", "_metadata.file_block_start", line.alias("line"))
+
+
 def find_image_column(df: DataFrame) -> str | None:
     """First image-like column whose first non-null value is a web address.
 
-    Each probe stops at the first row it finds and reads one column.
+    One job finds the first value of every candidate: each task keeps one value
+    of each, with its place.
     """
-    for name in image_candidates([c for c in df.columns if c != "image_url"]):
-        column = F.col(f"`{name}`")
-        sample = df.where(column.isNotNull()).select(column.cast("string")).head(1)
-        if sample and sample[0][0].startswith("http"):
-            return name
-    return None
+    names = image_candidates([c for c in df.columns if c != "image_url"])
+    if not names:
+        return None
+    read = df.select(row_place(df).alias("place"), *[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(names)])
+    firsts = [
+        F.min(F.when(F.col(f"c{i}").isNotNull(), F.struct("place", f"c{i}")))[f"c{i}"].alias(f"c{i}") for i in range(len(names))
+    ]
+    found = read.agg(*firsts).first()
+    return next((c for c, first in zip(names, found, strict=True) if (first or "").startswith("http")), None)
 
 
 def with_image_url(df: DataFrame, column: str | None = None) -> DataFrame:

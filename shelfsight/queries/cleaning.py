@@ -141,6 +141,23 @@ def image_url(spark, sf_dir):
     return clean.with_image_url(df)
 
 
+@query("image_column", with_tables("images") + """SELECT "ASIN" AS asin, "Photo" AS image_url FROM images""")
+def image_column(spark, sf_dir):
+    """The detected image column."""
+    return _with_images(spark, sf_dir)
+
+
+@query("image_override", with_tables("images") + """SELECT "ASIN" AS asin, "主图" AS image_url FROM images""")
+def image_override(spark, sf_dir):
+    """The chosen image column."""
+    return _with_images(spark, sf_dir, "主图")
+
+
+def _with_images(spark, sf_dir, column=None):
+    df = clean.with_image_url(tables.image_export(spark, sf_dir), column)
+    return df.select(F.col("ASIN").alias("asin"), "image_url")
+
+
 _PAIRS = """pairs AS (
   SELECT asin, i, trim(split_part(pair, ':', 1)) AS key,
     trim(substring(pair, position(':' IN pair) + 1)) AS value
@@ -253,6 +270,35 @@ def bought_count(spark, sf_dir):
     )
 
 
+_NUMBER = "TRY_CAST(NULLIF(regexp_extract({0}, '{1}', 1), '') AS DOUBLE)"
+
+
+@query(
+    "bought_count_odd",
+    with_tables("listings")
+    + f""", t AS (SELECT asin, lower({tables.ODD_SALES}) AS s FROM listings),
+b AS (SELECT *, replace(s, ',', '') AS bare FROM t)
+SELECT asin, s AS sales_text,
+  CASE WHEN regexp_matches(bare, '[0-9][0-9.]*[ ]*k')
+      THEN COALESCE({_NUMBER.format('bare', '([0-9][0-9.]*)[ ]*k')} * 1000, 0)
+    WHEN bare LIKE '%+%' OR bare LIKE '%bought%' THEN COALESCE({_NUMBER.format('bare', '([0-9]+)')}, 0)
+    ELSE CAST(bare AS DOUBLE) END AS bought,
+  CASE WHEN s LIKE '%k%' THEN COALESCE({_NUMBER.format('s', '([0-9.]+)')} * 1000, 0)
+    WHEN s LIKE '%+%' OR s LIKE '%bought%' THEN COALESCE({_NUMBER.format('s', '([0-9]+)')}, 0)
+    ELSE CAST(s AS DOUBLE) END AS bought_legacy FROM b""",
+)
+def bought_count_odd(spark, sf_dir):
+    """Sales texts with thousands commas, weeks, decimals and a k without a number."""
+    text = F.col("sales_text")
+    df = tables.listings(spark, sf_dir).select("asin", F.lower(F.expr(tables.ODD_SALES)).alias("sales_text"))
+    return df.select(
+        "asin",
+        "sales_text",
+        numbers.bought_count(text).alias("bought"),
+        numbers.bought_count(text, legacy=True).alias("bought_legacy"),
+    )
+
+
 @query(
     "first_number_price",
     with_tables("listings")

@@ -233,6 +233,12 @@ def drops_histogram(spark, sf_dir):
 
 # --- prices ------------------------------------------------------------------
 
+def _price_bins_sql(price: str = "price") -> str:
+    return _PRICE_BINS.replace("FROM (SELECT asin, monthly_revenue,", f"FROM (SELECT asin, monthly_revenue, {price} AS price FROM (SELECT asin, monthly_revenue,").replace(
+        "FROM listings)\n  WHERE", "FROM listings))\n  WHERE"
+    )
+
+
 _PRICE_BINS = """, priced AS (
   SELECT asin, CAST(floor(price * 100 + 0.5) AS BIGINT) AS v,
     CAST(floor(monthly_revenue * 100 + 0.5) AS BIGINT) AS r
@@ -276,6 +282,17 @@ def best_price_bin(spark, sf_dir):
     return prices.best_price_bin(_bins_of_listings(spark, sf_dir))
 
 
+@query(
+    "price_bins_narrow",
+    with_tables("listings") + _price_bins_sql("price * 0.01e0") + "SELECT * FROM labelled",
+)
+def price_bins_narrow(spark, sf_dir):
+    """Prices in hundreds, so that bins are less than 5 wide and labelled in tenths."""
+    price = numbers.first_number(F.col("price_curr_raw")) * 0.01
+    df = with_once(tables.listings(spark, sf_dir), {"price_read": price})
+    return prices.price_bins(df, "price_read", "monthly_revenue")
+
+
 def _tiers(by: str = "") -> str:
     head, group, match = (
         (f"{by}, ", f"GROUP BY {by}", f"USING ({by})") if by else ("", "", "ON TRUE")

@@ -167,7 +167,7 @@ _TITLE = "title"
 def _with_params(spark, sf_dir):
     from shelfsight.operators.params import params_wide
 
-    return params_wide(tables.listings(spark, sf_dir), keys=["Color", "Size", "Type"])
+    return params_wide(tables.listings(spark, sf_dir), keys=["Color", "Ratio", "Size", "Type"])
 
 
 @query(
@@ -220,6 +220,52 @@ def attr_price_box(spark, sf_dir):
     return _rounded(box, "low", "q1", "median", "q3", "high")
 
 
+# A value that is a number in some categories and a text in the others.
+_MIXED = """CASE WHEN category < 'P' THEN CAST(days_listed % 97 AS STRING) || CASE WHEN brand < 'Brand#2' THEN '.0' ELSE '' END
+  ELSE title END"""
+_MIXED_ATTR = """CASE WHEN category < 'P' THEN CASE WHEN days_listed % 97 > 0 THEN CAST(days_listed % 97 AS STRING) END
+  ELSE title END"""
+
+
+def _mixed_leaders() -> str:
+    return f""", named AS (SELECT *, {_MIXED_ATTR} AS attr FROM listings),
+groups AS (SELECT category, attr, {_sum('monthly_units')} AS units, {_sum(_CENTS)} / 100 AS revenue,
+    round(AVG(growth_rate * 100), 6) AS avg_growth_pct,
+    {_sum(_PRICE)} / 100 / COUNT(price) AS avg_price, COUNT(asin) AS listings
+  FROM named WHERE attr IS NOT NULL GROUP BY category, attr),
+placed AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY revenue DESC,
+    CASE WHEN category < 'P' THEN CAST(attr AS DOUBLE) END, attr) AS place FROM groups),
+leaders AS (SELECT * EXCLUDE (place) FROM placed
+  WHERE place <= CASE WHEN category < 'P' THEN 50 ELSE 15 END)
+"""
+
+
+def _mixed(spark, sf_dir):
+    return tables.listings(spark, sf_dir).withColumn("mixed", F.expr(_MIXED))
+
+
+@query("attr_mixed_kinds_by_category", with_tables("listings") + _mixed_leaders() + "SELECT * FROM leaders")
+def attr_mixed_kinds_by_category(spark, sf_dir):
+    """Each category decides for itself whether the attribute is a number."""
+    top = attributes.top_attributes(_mixed(spark, sf_dir), "mixed", by=["category"])
+    return _rounded(top, "avg_growth_pct")
+
+
+@query(
+    "attr_price_box_by_category",
+    with_tables("listings")
+    + _mixed_leaders()
+    + f""", v AS (SELECT category, attr, {_PRICE} AS v FROM named SEMI JOIN leaders USING (category, attr))
+SELECT category, attr, round(MIN(v) / 100, 6) AS low, round(quantile_cont(v, 0.25) / 100, 6) AS q1,
+  round(quantile_cont(v, 0.5) / 100, 6) AS median,
+  round(quantile_cont(v, 0.75) / 100, 6) AS q3, round(MAX(v) / 100, 6) AS high
+FROM v GROUP BY category, attr""",
+)
+def attr_price_box_by_category(spark, sf_dir):
+    box = attributes.attribute_price_box(_mixed(spark, sf_dir), "mixed", by=["category"])
+    return _rounded(box, "low", "q1", "median", "q3", "high")
+
+
 @query(
     "top_attr_values",
     with_tables("listings")

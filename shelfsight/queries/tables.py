@@ -117,7 +117,7 @@ LISTING_EXPORT = {
     "|| LPAD(CAST(CAST(FLOOR(cents / 100) AS BIGINT) % 1000 AS STRING), 3, '0') || '.' "
     "|| LPAD(CAST(cents % 100 AS STRING), 2, '0') END",
     "子体销售额($)": "'-' || CAST(1 + pk % 900 AS STRING)",
-    "价格($)": _PRICE_TEXT,
+    "价格($)": f"CASE WHEN pk % 22 = 0 THEN 'n/a' ELSE {_PRICE_TEXT} END",
     "FBA($)": "'US$ ' || CAST(pk % 7 AS STRING) || '.5'",
     "毛利率": "CAST(pk % 60 AS STRING) || '%'",
     "留评率": "CASE WHEN pk % 8 = 0 THEN '1,0' || CAST(10 + pk % 90 AS STRING) || '%' "
@@ -165,6 +165,26 @@ HISTORY_EXPORT = {
     "Freq. Bought Together": LISTING["fbt"],
 }
 
+# An export with columns that may hold images; the first one holds none.
+IMAGE_EXPORT = {
+    "ASIN": "asin",
+    "Image note": "CASE WHEN pk % 3 <> 0 THEN 'front view' END",
+    "Photo": "CASE WHEN pk % 5 <> 0 THEN 'https://img.example/' || asin || '.jpg' END",
+    "主图": "'http://other.example/' || CAST(pk AS STRING)",
+}
+
+# Sales texts as they rarely come: thousands commas, weeks, a lone k.
+ODD_SALES = (
+    "CASE WHEN CAST(SUBSTRING(asin, 2, 12) AS BIGINT) % 5 = 0 THEN '1,' || "
+    "LPAD(CAST(CAST(SUBSTRING(asin, 2, 12) AS BIGINT) % 1000 AS STRING), 3, '0') || '+ bought' "
+    "WHEN CAST(SUBSTRING(asin, 2, 12) AS BIGINT) % 5 = 1 THEN "
+    "CAST(CAST(SUBSTRING(asin, 2, 12) AS BIGINT) % 90 AS STRING) || ' bought in past week' "
+    "WHEN CAST(SUBSTRING(asin, 2, 12) AS BIGINT) % 5 = 2 THEN '.k bought' "
+    "WHEN CAST(SUBSTRING(asin, 2, 12) AS BIGINT) % 5 = 3 THEN "
+    "'1.' || CAST(CAST(SUBSTRING(asin, 2, 12) AS BIGINT) % 10 AS STRING) || 'K+' "
+    "ELSE CAST(CAST(SUBSTRING(asin, 2, 12) AS BIGINT) % 700 AS STRING) END"
+)
+
 
 def _exprs(columns: dict[str, str]) -> list[str]:
     return [f"{sql} AS `{name}`" for name, sql in columns.items()]
@@ -211,6 +231,11 @@ def history_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts(spark, sf_dir).selectExpr(*_exprs(HISTORY_EXPORT))
 
 
+def image_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings with columns that may hold images."""
+    return facts(spark, sf_dir).selectExpr(*_exprs(IMAGE_EXPORT))
+
+
 def _select(columns: dict[str, str], source: str) -> str:
     body = ",\n    ".join(f'{sql} AS "{name}"' for name, sql in columns.items())
     return f"SELECT\n    {body}\n  FROM {source}"
@@ -232,11 +257,13 @@ def with_tables(*wanted: str) -> str:
   FROM typed""",
         "export": _select(listing_names, "facts"),
         "history": _select(HISTORY_EXPORT, "facts"),
+        "images": _select(IMAGE_EXPORT, "facts"),
     }
     needs = {
         "listings": ["sales", "facts", "typed", "listings"],
         "export": ["sales", "facts", "export"],
         "history": ["sales", "facts", "history"],
+        "images": ["sales", "facts", "images"],
     }
     names = list(dict.fromkeys(n for w in wanted for n in needs[w]))
     return "WITH " + ",\n".join(f"{n} AS (\n  {tables[n]})" for n in names)
