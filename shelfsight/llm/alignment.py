@@ -22,6 +22,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ CHUNK = 1 << 18  # Letters that the encoders are given at once.
 KNOWN = 250_000
 KNOWN_LETTERS = 1 << 22
 CUT = re.compile(r"(?<=\S) (?=\S)")
-ID = np.uint32
+ID = np.uint32  # Of the ids that are held.
 NONE = -1
 
 
@@ -81,7 +82,7 @@ class Coders:
         for i in sorted(range(len(self.b)), key=self.second.is_byte):
             same.setdefault(self.b[i], i)
         self.same = np.array([same.get(t, NONE) if t else NONE for t in self.a], dtype=np.int64)
-        self.known: dict[str, tuple[bytes, bytes] | None] = {}
+        self.known: tuple[dict[str, bytes | None], ...] = ({}, {})
         self.held = 0
         self.numbers = [f"{i}{mark}" for mark in ",|;" for i in range(max(len(self.a), len(self.b)))]
         self.a_size = np.array([len(t) for t in self.a], dtype=np.int64)
@@ -95,14 +96,16 @@ class Coders:
 
     def encoded(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """A and B ids of each text; none where the bytes of either are not a blank and the text."""
-        if len(self.known) > KNOWN or self.held > KNOWN_LETTERS:
-            self.known, self.held = {}, 0
+        if len(self.known[0]) > KNOWN or self.held > KNOWN_LETTERS:
+            self.known, self.held = ({}, {}), 0
         split = [CUT.split(t) if t else [] for t in texts]
-        self._learn({p for parts in split for p in parts} - self.known.keys())
+        self._learn(set(chain.from_iterable(split)).difference(self.known[0]))
         for parts in split:
-            found = [self.known[p] for p in parts]
-            fits = None not in found
-            yield tuple(np.frombuffer(b"".join([f[i] for f in found] if fits else []), dtype=ID).astype(np.int64) for i in (0, 1))
+            try:
+                joined = [b"".join(map(side.__getitem__, parts)) for side in self.known]
+            except TypeError:  # A part without ids is None.
+                joined = [b"", b""]
+            yield tuple(np.frombuffer(ids, dtype=ID).astype(np.int64) for ids in joined)
 
     def _learn(self, parts: set[str]) -> None:
         """Put the ids of parts into ``known``, as bytes; None where the bytes of the tokens are not those of the part."""
@@ -111,7 +114,7 @@ class Coders:
         for part in parts:
             # At a blank between two letters both vocabularies cut, so such parts can be encoded in one go.
             if part != part.strip():
-                self.known[part] = self._alone(part)
+                self._alone(part)
                 continue
             run.append(part)
             size += len(part)
@@ -128,9 +131,10 @@ class Coders:
         spelled = (b"".join(map(spell.__getitem__, ids)) for spell, ids in ((self.a, x), (self.b, y)))
         return (x, y) if all(s == want for s in spelled) else None
 
-    def _alone(self, part: str) -> tuple[bytes, bytes] | None:
-        ids = self._ids(part)
-        return ids and tuple(np.array(i, dtype=ID).tobytes() for i in ids)
+    def _alone(self, part: str) -> None:
+        ids = self._ids(part) or (None, None)
+        for side, found in zip(self.known, ids, strict=True):
+            side[part] = None if found is None else np.array(found, dtype=ID).tobytes()
 
     def _together(self, parts: list[str]) -> None:
         ends = np.cumsum([len(p.encode()) + 1 for p in parts])
@@ -140,13 +144,15 @@ class Coders:
             reach = np.cumsum(size[found])
             last = np.searchsorted(reach, ends)
             if (reach[last] == ends).all():
-                cuts = ID().itemsize * np.concatenate([[0], last + 1])
+                cuts = (ID().itemsize * np.concatenate([[0], last + 1])).tolist()
                 whole = np.array(found, dtype=ID).tobytes()
-                sides.append([whole[i:j] for i, j in zip(cuts, cuts[1:], strict=False)])
+                sides.append([whole[i:j] for i, j in pairwise(cuts)])
         if len(sides) == 2:
-            self.known.update(zip(parts, zip(*sides, strict=True), strict=True))
+            for side, found in zip(self.known, sides, strict=True):
+                side.update(zip(parts, found, strict=True))
         else:
-            self.known.update((p, self._alone(p)) for p in parts)
+            for p in parts:
+                self._alone(p)
 
 
 @dataclass
@@ -182,8 +188,12 @@ class Meeting:
 
 def meeting(coders: Coders, a: np.ndarray, b: np.ndarray) -> Meeting:
     a_end, b_end = np.cumsum(coders.a_size[a]), np.cumsum(coders.b_size[b])
-    ends = np.intersect1d(a_end, b_end, assume_unique=True)
-    a_group, b_group = np.searchsorted(ends, a_end), np.searchsorted(ends, b_end)
+    # Tokens that end where one of the other side does close a group.
+    beside = np.searchsorted(b_end, a_end)
+    closes = b_end[np.minimum(beside, max(len(b) - 1, 0))] == a_end if len(b) else np.zeros(len(a), dtype=bool)
+    ends, b_closes = a_end[closes], np.zeros(len(b), dtype=bool)
+    b_closes[beside[closes]] = True
+    a_group, b_group = np.cumsum(closes) - closes, np.cumsum(b_closes) - b_closes
     sizes = np.bincount(a_group, minlength=len(ends)), np.bincount(b_group, minlength=len(ends))
     single = (sizes[0] == 1) & (sizes[1] == 1)
     # The fast path: one token on each side, and the B id is that of the array.
