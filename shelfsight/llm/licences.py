@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 SHINGLE = 3
 LEAST = 0.8
 MISS = 1e-4
+BROADCAST_BYTES = 10 << 20
 
 # Wording of public license notices.
 TEMPLATES = (
@@ -111,11 +112,17 @@ class Index:
         self.values = [tuple(r) for r in found]
         low = sets.select(F.explode(least_shingles(F.col("set"), F.col("bands"))).alias("x")).distinct().collect()
         self.marks = sorted(r.x for r in low)
-        self.table = spark.createDataFrame(self.values, "template int, stride int, band int, value long")
-        self.templates = sets.drop("bands", "stride")
+        # Both grow with the templates alone, and their size is known here.
+        self.table = small(spark.createDataFrame(self.values, "template int, stride int, band int, value long"), 24 * len(self.values))
+        self.templates = small(sets.drop("bands", "stride"), 8 * sum(map(len, self.sets.values())))
         self.least = least
 
 
+def small(df: DataFrame, size: int) -> DataFrame:
+    """df, marked for broadcast while its ``size`` in bytes allows that."""
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
 def least_hashes(items: Column, bands: Column) -> Column:
     """The least hash of a set under each of the band functions."""
     return F.transform(F.sequence(F.lit(1), bands), lambda b: F.array_min(F.transform(items, lambda x: F.xxhash64(x, b))))
@@ -165,8 +172,9 @@ def scanned(documents: DataFrame, templates=TEMPLATES, least: float = LEAST, mis
     cut = cut.where("size(part) > 0")
     bands = least_hashes(F.col("part"), F.col("bands"))
     banded = cut.select("doc_id", "stride", "first_word", "part", F.posexplode_outer(bands).alias("band", "value"))
-    pairs = banded.join(index.table, ["stride", "band", "value"])
-    pairs = pairs.select("doc_id", "first_word", "part", "template").distinct().join(index.templates, "template")
+    # A window that meets a template in several bands comes several times, which changes none of the sums below;
+    # so nothing is exchanged before containment has decided.
+    pairs = banded.join(index.table, ["stride", "band", "value"]).join(index.templates, "template")
     pairs = pairs.withColumn("containment", F.size(F.array_intersect("part", "set")) / F.size("set")).where(F.col("containment") >= least)
     return pairs.groupBy("doc_id", "license").agg(
         F.max("containment").alias("containment"),

@@ -68,3 +68,15 @@ def test_bands_guarantee_the_probability(spark):
         stride, need = index.stride[t], -(-4 * len(items) // 5)
         alike = need / (2 * stride - 2 + len(items) - need)
         assert (1 - alike) ** index.bands[stride] <= 1e-4
+
+
+def test_templates_are_broadcast_and_nothing_else(spark, documents):
+    docs = documents([(i, t, "s") for i, t in enumerate(texts())])
+    plan = licences.scanned(docs)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and plan.count("BuildRight") == 2 and "SortMergeJoin" not in plan
+    found = licences.scanned(docs)
+    found.collect()
+    done = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    # Documents are exchanged once, when containment has decided.
+    below = done[done.index("BroadcastHashJoin") :]
+    assert "hashpartitioning" not in below
