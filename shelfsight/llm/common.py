@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import hashlib
 import uuid
 from collections.abc import Iterable, Iterator
@@ -77,7 +80,7 @@ def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hash of a word, the same on every machine; forgets when it holds too many."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
 
@@ -105,6 +108,15 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
+def release() -> None:
+    """Give back what a worker process holds of the task before: it lives on from stage to stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def batches(frames: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches that have rows."""
+    release()
     return (b for b in frames if b.num_rows)

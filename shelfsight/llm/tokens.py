@@ -43,7 +43,7 @@ class Tokens:
     the special token's string goes through the tokenizer file as a whole.
     """
 
-    def __init__(self, paths: dict[str, str], most: int = 300_000):
+    def __init__(self, paths: dict[str, str], most: int = 100_000):
         import public_tokenizers
         import tiktoken
 
