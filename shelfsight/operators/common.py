@@ -17,6 +17,8 @@ from shelfsight.functions.numbers import cents, strict_number
 
 # Bins per power of two in ``magnitude_bin``.
 BINS_PER_OCTAVE = 256
+# Cells into which a bin of real numbers is cut again.
+CELLS_PER_BIN = 65_536
 
 
 def attach(df: DataFrame, stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -133,15 +135,25 @@ def histogram(
     return counted.where(reduce(or_, [F.col(k).isNull() for k in measures], F.col("n") > 0))
 
 
+def _magnitude(value: Column) -> Column:
+    size = F.log2(F.abs(value.cast("double")) + 1) * BINS_PER_OCTAVE
+    return F.signum(value) * size
+
+
 def magnitude_bin(value: Column) -> Column:
     """A bin number that never decreases as the value grows.
 
     It depends on the value alone, so every task and every retry agrees. There
     are at most 256 bins per power of two, which bounds the bins per market.
     """
-    size = F.log2(F.abs(value.cast("double")) + 1) * BINS_PER_OCTAVE
     # Never NULL, so that joining on the bin adds no filter to one branch only.
-    return F.coalesce(F.floor(F.signum(value) * size), F.lit(0))
+    return F.coalesce(F.floor(_magnitude(value)), F.lit(0))
+
+
+def magnitude_cell(value: Column) -> Column:
+    """A number from 0 to ``CELLS_PER_BIN`` - 1 that never decreases as the value grows inside its bin."""
+    part = _magnitude(value) - F.floor(_magnitude(value))
+    return F.coalesce(F.floor(part * CELLS_PER_BIN), F.lit(0))
 
 
 def running_totals(
@@ -150,25 +162,29 @@ def running_totals(
     by: Sequence[str] = (),
     descending: bool = False,
     ranks: Sequence[Column] = (),
+    split: bool = False,
 ) -> DataFrame:
     """Add ``before_<c>`` (sum over earlier values) and ``all_<c>`` per total.
 
     Sums run in two levels. Bins are few, so their running sum is one small
     window per market; values are then summed inside their own bin only. With
     ``ranks`` only the bins that hold one of these row numbers are kept.
+
+    A bin of cents holds no more values than a task can order. One of real
+    numbers may hold any number: with ``split`` there is a level between, of at
+    most ``CELLS_PER_BIN`` cells in a bin.
     """
+    order = F.desc if descending else F.asc
+
+    def holding(rows: DataFrame, first: str, n: str) -> DataFrame:
+        if not ranks:
+            return rows
+        held = [(F.col(first) <= r) & (r < F.col(first) + F.col(n)) for r in ranks]
+        return rows.where(reduce(or_, held))
+
     binned = hist.withColumn("bin", magnitude_bin(F.col("value")))
     market = Window.partitionBy(*[F.col(c) for c in by])
-    bin_order = F.desc("bin") if descending else F.asc("bin")
-    value_order = F.desc("value") if descending else F.asc("value")
-    earlier_bins = market.orderBy(bin_order).rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    inside = (
-        Window.partitionBy(*by, "bin")
-        .orderBy(value_order)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    earlier_bins = market.orderBy(order("bin")).rowsBetween(Window.unboundedPreceding, -1)
     bins = (
         group(binned, [*by, "bin"])
         .agg(*[F.sum(c).alias(f"bin_{c}") for c in totals])
@@ -185,18 +201,34 @@ def running_totals(
             *[F.sum(f"bin_{c}").over(market).alias(f"all_{c}") for c in totals],
         )
     )
-    if ranks:
-        first = F.col("bins_before_n")
-        holds = [(first <= r) & (r < first + F.col("bin_n")) for r in ranks]
-        bins = bins.where(reduce(or_, holds)).drop("bin_n")
-    joined = binned.join(bins, [*by, "bin"])
+    joined = binned.join(holding(bins, "bins_before_n", "bin_n").drop("bin_n"), [*by, "bin"])
+    inner = ["bin"]
+    if split:
+        inner = ["bin", "cell"]
+        joined = joined.withColumn("cell", magnitude_cell(F.col("value")))
+        earlier_cells = (
+            Window.partitionBy(*by, "bin").orderBy(order("cell")).rowsBetween(Window.unboundedPreceding, -1)
+        )
+        levels = [f"bins_before_{c}" for c in totals] + [f"all_{c}" for c in totals]
+        cells = joined.groupBy(*by, *inner, *levels).agg(*[F.sum(c).alias(f"cell_{c}") for c in totals])
+        before = {
+            f"bins_before_{c}": F.col(f"bins_before_{c}") + F.coalesce(F.sum(f"cell_{c}").over(earlier_cells), F.lit(0))
+            for c in totals
+        }
+        cells = holding(cells.withColumns(before), "bins_before_n", "cell_n").drop(*[f"cell_{c}" for c in totals])
+        joined = joined.drop(*levels).join(cells, [*by, *inner])
+    inside = (
+        Window.partitionBy(*by, *inner)
+        .orderBy(order("value"))
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
     before = {
         f"before_{c}": F.col(f"bins_before_{c}")
         + F.coalesce(F.sum(c).over(inside), F.lit(0))
         for c in totals
     }
     return joined.withColumns(before).drop(
-        "bin", *[f"bins_before_{c}" for c in totals]
+        *inner, *[f"bins_before_{c}" for c in totals]
     )
 
 
@@ -220,13 +252,15 @@ def quantiles_of(
     probabilities: dict[str, float],
     by: Sequence[str] = (),
     totals: Sequence[str] = (),
+    split: bool = False,
 ) -> DataFrame:
     """Exact quantiles of a histogram, linear between neighbouring ranks.
 
     Equal to sorting all values and interpolating, but no task ever holds the
     values of a whole market. One row per market; NULLs when it is empty. For
     each measure of ``totals`` there is ``<name>_<measure>``, its sum over the
-    values up to the quantile, and ``all_<measure>``.
+    values up to the quantile, and ``all_<measure>``. ``split`` is for real
+    numbers, as in ``running_totals``.
     """
     ends, exact = [], []
     last = F.col("all_n") - 1
@@ -235,7 +269,7 @@ def quantiles_of(
         for p in probabilities.values()
         for rank in (F.floor(last * p), F.least(F.floor(last * p) + 1, last))
     ]
-    ranked = running_totals(hist, ["n", *totals], by, ranks=ranks)
+    ranked = running_totals(hist, ["n", *totals], by, ranks=ranks, split=split)
     for name, p in probabilities.items():
         rank = F.floor(last * p)
         ends += [

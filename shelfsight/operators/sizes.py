@@ -112,7 +112,7 @@ def size_extent(
     sides = F.array(*[F.struct(F.lit(c).alias("_side"), F.col(c).alias("_size")) for c in SIDES[:2]])
     each = df.select(*by, F.inline(sides))
     keys = [*by, "_side"]
-    ends = quantiles_of(histogram(each, F.col("_size"), keys), {"_end": 0.99}, keys)
+    ends = quantiles_of(histogram(each, F.col("_size"), keys), {"_end": 0.99}, keys, split=True)
     wide = group(ends, by).agg(
         *[F.max(F.when(F.col("_side") == c, F.col("_end"))).alias(to) for c, to in zip(SIDES, ("_l", "_w"))]
     )

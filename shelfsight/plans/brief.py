@@ -16,34 +16,35 @@ BRIEF_BRANDS = 5
 BRIEF_ATTRIBUTES = 3
 
 KEYS = ("_brand", "_price", "_attr")
+KEY_TYPES = {"_brand": "string", "_price": "bigint", "_attr": "string"}
 MARKET, BRAND, PRICE, ATTR = -1, 0, 1, 2  # What a row of the cube is about.
 
 
 def market_cube(df: DataFrame, attribute: str | None, by: Sequence[str]) -> DataFrame:
     """The headline of each market, and of each of its brands, prices and attribute values.
 
-    One scan and one shuffle: grouping sets expand each listing into a row per
-    key, which collapse again before they leave their task. ``_kind`` tells
-    which key a row is for, by its place in ``KEYS``, or ``MARKET``.
+    One scan and one shuffle for all grouping sets: each listing becomes a row per
+    key, and these collapse again before they leave their task. ``_kind`` tells
+    which key a row is for, by its place in ``KEYS``, or ``MARKET``. Spark's own
+    grouping sets would do the same, but several readers of them share no shuffle.
     """
     named = attribute is not None and attribute in df.columns
     text = F.col(f"`{attribute}`").cast("string") if named else F.lit(None).cast("string")
-    keyed = df.withColumns({"_brand": F.col("brand"), "_price": cents(F.col("price")), "_attr": text})
+    values = dict(zip(KEYS, (F.col("brand"), cents(F.col("price")), text), strict=True))
     headline = kpi_parts(df)
     measures = [headline[c].alias(c) for c in ("products", "total_units", "total_revenue", "avg_price")]
     measures += rating_columns(df)
     if "newness" in df.columns:
         measures += newcomer_columns(df)
-    keys = KEYS if named else KEYS[:-1]
-    sets = [list(by)] + [[*by, k] for k in keys]
-    # Each key that a set leaves out raises a bit of the grouping id.
-    every = 2 ** len(keys) - 1
-    kinds = {every: MARKET} | {every - 2 ** (len(keys) - 1 - i): i for i in range(len(keys))}
-    kind = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])[F.grouping_id().cast("int")]
-    cube = keyed.groupingSets(sets, *by, *keys).agg(kind.alias("_kind"), *measures)
-    if not named:
-        cube = cube.withColumn("_attr", text)
-    # Filters on the kind stay above the generator, so that all readers share one shuffle.
+
+    def row(kind: int) -> Column:
+        mine = [v if i == kind else F.lit(None).cast(KEY_TYPES[k]) for i, (k, v) in enumerate(values.items())]
+        return F.struct(F.lit(kind).alias("_kind"), *[m.alias(k) for k, m in zip(KEYS, mine, strict=True)])
+
+    kinds = [MARKET, BRAND, PRICE, *([ATTR] if named else [])]
+    keyed = df.select("*", F.inline(F.array(*[row(k) for k in kinds])))
+    cube = keyed.groupBy(*by, "_kind", *KEYS).agg(*measures)
+    # Filters on the kind stay above the generator, so that all readers see the same plan below.
     return cube.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in cube.columns]))))
 
 
