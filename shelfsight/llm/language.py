@@ -95,6 +95,11 @@ def _smoothed(n: Column, prior: Column, weight: float) -> Column:
     return F.zip_with(n, prior, lambda x, p: (x + weight * p) / (total + weight))
 
 
+RESERVED = {
+    "_text", "_code", "_host", "_domain", "_suffix", "_said", "_found", "_looks", "_up", "_prior", "_declares", "_ends", "_scores",
+}
+
+
 def identified(
     documents: DataFrame,
     text: Column,
@@ -111,8 +116,14 @@ def identified(
     text is empty and rejected, NULL evidence tells nothing. A declared language
     counts by its first two letters; one not in ``languages`` is a value like
     any other. Equal scores go to the language listed first. Repeated rows get
-    equal results; other columns pass through.
+    equal results; whole texts are read, however long; an empty table gives an
+    empty one. Other columns pass through, but for ``language``, ``confidence``
+    and ``accepted``, which are replaced, and names in RESERVED, which are refused
+    with a ValueError. The session's Arrow batches are made smaller for good.
     """
+    taken = RESERVED.intersection(documents.columns)
+    if taken:
+        raise ValueError(f"columns of the documents have reserved names: {sorted(taken)}")
     spark = documents.sparkSession
     small_batches(spark)
     size = len(languages)

@@ -9,19 +9,22 @@ stops is all that travels: a task knows from it which of its cells the query
 has walked, and ranks their rows by exact cosine.
 
 Of equal vectors only the k + 1 least ids can be in a result, so only they are
-indexed. A cell that is still large is dealt by hash into blocks.
+indexed. A cell that is still large is dealt by hash into blocks. Each number of
+components has an index of its own, and only vectors of one number meet. A number
+that no row of the sample has is so rare that all its rows lie in one cell.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfsight.llm.common import durable
+from shelfsight.llm.common import durable, of_least_hash, partitions
 from shelfsight.llm.vectors import best, matrix, numbers, valid
 
 K = 5
@@ -100,6 +103,14 @@ class MultiIndex:
         return [walk(p, q, rows, wanted) for p, q in zip(*self.sums(x), strict=True)]
 
 
+def by_length(vectors: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(components, places, vectors as a matrix) for each number of components among ``vectors``."""
+    length = np.diff(vectors.offsets.to_numpy()) if len(vectors) else np.zeros(0, dtype=np.int64)
+    for dims in np.unique(length).tolist():
+        at = np.flatnonzero(length == dims)
+        yield dims, at, matrix(pa.chunked_array([vectors.take(pa.array(at))]), float)
+
+
 def cosines(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Cosine of q and each row, each summed in the same order whatever stands beside it."""
     x, q = x / np.abs(x).max(axis=1, keepdims=True), q / np.abs(q).max()
@@ -119,54 +130,71 @@ def near_vectors(
     """(query_id, rank, vec_id, score): the k found rows of largest cosine for each query.
 
     ``vectors`` has vec_id and embedding. Queries are the rows for which
-    ``is_query`` holds; candidates are all rows with another id, of which a
-    share of ``candidates`` (1000 rows at least) is ranked. Rows without an id,
-    NULL, empty and zero vectors and those with a NULL or non-finite component
-    take no part, nor do vectors with fewer than two components or another
-    number of them than most rows have. Rows equal in both columns are one row.
-    Ties go to the smaller id. Other columns are ignored. No row gives no row.
+    ``is_query`` holds; candidates are all rows with another id and as many
+    components, of which a share of ``candidates`` (1000 rows at least) is
+    ranked. Rows without an id, NULL, empty and zero vectors and those with a
+    NULL or non-finite component take no part. Rows equal in both columns are
+    one row. Ties go to the smaller id. Other columns are ignored. No row gives
+    no row.
     """
     spark = vectors.sparkSession
-    rows = valid(vectors).where(F.exists("embedding", lambda x: x != 0)).where("size(embedding) > 1")
-    sizes = rows.groupBy(F.size("embedding").alias("dims")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").first()
-    dims = sizes.dims if sizes else 2
-    rows = rows.where(F.size("embedding") == dims).dropDuplicates(["vec_id", "embedding"])
+    rows = valid(vectors).where(F.exists("embedding", lambda x: x != 0)).withColumn("dims", F.size("embedding"))
+    # One short row for each number of components.
+    sizes = {r.dims: r["count"] for r in rows.groupBy("dims").count().collect()}
+    rows = rows.dropDuplicates(["vec_id", "embedding"])
     copies = Window.partitionBy("embedding").orderBy("vec_id")
     kept = rows.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k + 1).drop("copy")
 
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("embedding").toArrow()["embedding"]
-    count = int(min(MOST_CENTROIDS, max(4, (sizes.n if sizes else 1) // ROWS_PER_CENTROID)))
-    x = matrix(sample, float) if len(sample) else np.ones((1, 2))
-    index = spark.sparkContext.broadcast(MultiIndex(x, count))
+    sample = of_least_hash(rows, sum(sizes.values()), sample_rows, "vec_id").select("embedding").toArrow()["embedding"]
+    fitted = {}
+    for dims, _, x in by_length(sample.combine_chunks()):
+        if dims > 1:
+            fitted[dims] = MultiIndex(x, int(min(MOST_CENTROIDS, max(4, sizes[dims] // ROWS_PER_CENTROID))))
+    index = spark.sparkContext.broadcast(fitted)
 
     @F.arrow_udf("long")
     def cell_of(found: pa.Array) -> pa.Array:
-        return pa.array(index.value.cell(matrix(pa.chunked_array([found]), float)) if len(found) else [], pa.int64())
+        cells = np.zeros(len(found), dtype=np.int64)
+        for dims, at, x in by_length(found):
+            if dims in index.value:
+                cells[at] = index.value[dims].cell(x)
+        return pa.array(cells)
 
     indexed = durable(kept.withColumn("cell", cell_of("embedding")))
-    # At most MOST_CENTROIDS^2 cells.
-    held = {r.cell: r["count"] for r in indexed.groupBy("cell").count().collect()}
-    total = sum(held.values())
-    wanted = max(1000, int(candidates * total)) + k + 1
-    known = spark.sparkContext.broadcast(held)
+    # At most MOST_CENTROIDS^2 cells of each number of components, and no more than rows.
+    cells = indexed.groupBy("dims", "cell").count().collect()
+    held: dict[int, dict[int, int]] = {}
+    for r in cells:
+        held.setdefault(r.dims, {})[r.cell] = r["count"]
+    total = {dims: sum(n.values()) for dims, n in held.items()}
+    wanted = {dims: max(1000, int(candidates * n)) + k + 1 for dims, n in total.items()}
+    known = spark.sparkContext.broadcast((held, wanted))
 
     @F.arrow_udf("double")
     def reach_of(asked: pa.Array) -> pa.Array:
-        found = index.value.reach(matrix(pa.chunked_array([asked]), float), known.value, wanted) if len(asked) else []
-        return pa.array(found, pa.float64())
+        held, wanted = known.value
+        reach = np.full(len(asked), np.inf)
+        for dims, at, x in by_length(asked):
+            if dims in index.value:
+                reach[at] = index.value[dims].reach(x, held[dims], wanted[dims])
+        return pa.array(reach)
 
     # Large cells are cut into blocks, and blocks are dealt into bundles.
-    bundles = -(-total // bundle_rows) or 1
-    blocks = F.ceil(F.col("n") / block_rows)
-    table = spark.createDataFrame(sorted(held.items()) or [(-1, 1)], "cell long, n long").withColumn("blocks", blocks)
-    right = indexed.join(table, "cell").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
-    right = right.withColumn("bundle", F.pmod(F.xxhash64("cell", "block"), F.lit(bundles)))
+    cut = [(r.dims, r.cell, r["count"], -(-total[r.dims] // bundle_rows)) for r in cells]
+    table = spark.createDataFrame(cut or [(0, -1, 1, 1)], "dims int, cell long, n long, bundles long")
+    table = table.withColumn("blocks", F.ceil(F.col("n") / block_rows))
+    right = indexed.join(table, ["dims", "cell"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
+    right = right.withColumn("bundle", F.pmod(F.xxhash64("cell", "block"), F.col("bundles")))
     asked = rows.where(is_query)
     parts = -(-asked.count() // query_rows) or 1
     right = right.withColumn("part", numbers(F.lit(parts)))
-    right = right.select("part", "bundle", "cell", "vec_id", "embedding").toDF("part", "bundle", "cell", "vec_id", "embedding")
-    left = durable(asked.withColumn("reach", reach_of("embedding")).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts))))
-    left = left.withColumn("bundle", numbers(F.lit(bundles)))
+    keys = ["dims", "part", "bundle"]
+    # Tasks by number, as walks and groups cost far more than their bytes tell.
+    tasks = 4 * partitions(spark)
+    right = right.select(*keys, "cell", "vec_id", "embedding").toDF(*keys, "cell", "vec_id", "embedding")
+    spread = asked.repartition(tasks, "vec_id")
+    left = durable(spread.withColumn("reach", reach_of("embedding")).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts))))
+    left = left.join(table.select("dims", "bundles").distinct(), "dims").withColumn("bundle", numbers(F.col("bundles")))
 
     def meet(query: pa.Table, found: pa.Table) -> pa.Table:
         out = []
@@ -176,8 +204,10 @@ def near_vectors(
             cells, sizes = np.unique(cell, return_counts=True)
             ids, x = found["vec_id"].to_numpy()[order], matrix(found["embedding"], float)[order]
             unit, q = MultiIndex.unit(x), matrix(query["embedding"], float)
-            a, b = index.value.sums(q)
-            near = a[:, cells // b.shape[1]] + b[:, cells % b.shape[1]] <= query["reach"].to_numpy()[:, None] + 1e-9
+            near = np.ones((len(q), len(cells)), dtype=bool)
+            if x.shape[1] in index.value:
+                a, b = index.value[x.shape[1]].sums(q)
+                near = a[:, cells // b.shape[1]] + b[:, cells % b.shape[1]] <= query["reach"].to_numpy()[:, None] + 1e-9
             for qid, v, u, walked in zip(query["vec_id"].to_pylist(), q, MultiIndex.unit(q), near, strict=True):
                 at = np.flatnonzero(np.repeat(walked, sizes))
                 at = at[ids[at] != qid]
@@ -193,6 +223,6 @@ def near_vectors(
         kinds = (pa.int64(), pa.int64(), pa.float64())
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["query_id", "vec_id", "score"])
 
-    keys = ["part", "bundle"]
+    left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
     result = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
     return best(result, k)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfsight.llm.boosting import BoostedTrees
-from shelfsight.llm.common import batches, small_batches, text_of
+from shelfsight.llm.common import batches, of_least_hash, small_batches, text_of
 
 KINDS = ("email", "ip", "card", "phone", "iban")
 BASE_KINDS = KINDS[:4]
@@ -323,7 +323,11 @@ def _weak(text: str) -> list[tuple[list[float], int]]:
 
 
 def trained(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, precision: float = PRECISION) -> Judge:
-    """A judge from the examples and from at most ``sample_docs`` documents, least hash of the text first."""
+    """A judge from the examples and from ``documents`` (doc_id, text).
+
+    At most ``sample_docs`` of those that hold a digit or an at sign are taken,
+    least hash of the row first, and at most SAMPLE_CANDIDATES candidates of them.
+    """
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(frames):
@@ -333,9 +337,10 @@ def trained(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, precision: flo
                 ["x", "y"],
             )
 
-    texts = documents.select(text_of("text").alias("text")).where("text rlike '[0-9@]'")
-    texts = texts.orderBy(F.xxhash64("text"), "text").limit(sample_docs)
-    rows = texts.mapInArrow(run, "x array<double>, y int").limit(SAMPLE_CANDIDATES).collect()
+    # Of many more documents than are kept, so that enough of them hold a digit.
+    some = of_least_hash(documents.select("doc_id", "text"), documents.count(), 2 * sample_docs, "doc_id", "text")
+    texts = some.where("text rlike '[0-9@]'").orderBy(F.xxhash64("doc_id", "text"), "text").limit(sample_docs)
+    rows = texts.select("text").mapInArrow(run, "x array<double>, y int").limit(SAMPLE_CANDIDATES).collect()
     rows = sorted((list(r.x), r.y) for r in rows)
     return Judge([(features(t, s, k, e), y) for t, s, k, e, y in examples()] + rows, precision)
 
@@ -365,7 +370,10 @@ def personal_data(documents: DataFrame, sample_docs: int = SAMPLE_DOCS, precisio
     points, end exclusive, by start and then kind, comma-joined), spans (all
     spans, joined likewise) and redacted. A NULL text is an empty one. Every row
     is judged for itself, so repeated rows and ids get equal results; other
-    columns pass through. With no row the trees learn from the examples alone.
+    columns pass through, but for one named ``found``, which is replaced. Whole
+    texts are read, however long; of numbers spelled over more than LONGEST
+    letters only the base spans are found. With no row the trees learn from the
+    examples alone. The session's Arrow batches are made smaller for good.
     """
     spark = documents.sparkSession
     small_batches(spark)

@@ -67,7 +67,8 @@ def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of each document; labels of a fifth of the ids are held out."""
     docs = table(spark, sf_dir, "documents")
-    held = (F.crc32(F.col("doc_id").cast("string")) % 5) == 0
+    # No label belongs to a row without an id.
+    held = F.coalesce((F.crc32(F.col("doc_id").cast("string")) % 5) == 0, F.lit(True))
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held)
     found = quality.scored(docs, quality.trained(docs, labels))
     return found.select("doc_id", held.alias("held_out"), "score", "predicted")

@@ -64,3 +64,14 @@ def test_shares_are_those_of_all_documents(spark):
     table.append((50, "zu", None, "h.org", ""))
     result = {r.doc_id: r for r in found(spark, table).collect()}
     assert result[50].confidence <= 1 and result[1].language == "fr" and result[0].language == "en"
+
+
+def test_reserved_names_are_refused_and_others_replaced(documents):
+    import pytest
+
+    docs = documents(odd_rows())
+    with pytest.raises(ValueError, match="_host"):
+        language.identified(docs.withColumn("_host", F.lit(1)), F.col("text"), F.col("lang"), F.col("source"))
+    again = language.identified(docs.withColumn("language", F.lit("x")), F.col("text"), F.col("lang"), F.col("source"))
+    assert again.columns == [*docs.columns, "language", "confidence", "accepted"]
+    assert again.where("language = 'x'").count() == 0

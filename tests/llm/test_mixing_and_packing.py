@@ -102,13 +102,12 @@ def test_every_token_is_packed_once(documents):
     from tokenizers import Tokenizer
 
     rows = corpus(300) + [(1000, "é 😀 \n\n  two   spaces\tand tabs", "a"), (1001, None, None), (1002, "", "b")]
-    coder = Tokenizer.from_file(tokens.tokenizer_paths()["tokenizer"]) if "tokenizer" in tokens.tokenizer_paths() else None
+    coder = Tokenizer.from_file(tokens.tokenizer_paths()["json"])
     found = packing.packed(documents(rows)).collect()
     ids = tokens.Tokens(tokens.tokenizer_paths())
     of = {i: np.append(ids.ids(t or ""), np.uint16(0)) for i, t, _ in rows}
-    if coder:
-        for i, t, _ in rows:
-            assert of[i][:-1].tolist() == coder.encode(t or "", add_special_tokens=False).ids
+    for i, t, _ in rows:
+        assert of[i][:-1].tolist() == coder.encode(t or "", add_special_tokens=False).ids
     pieces, windows = defaultdict(list), defaultdict(list)
     for r in found:
         pieces[r.doc_id].append((r.start, r.length))

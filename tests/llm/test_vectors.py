@@ -92,7 +92,20 @@ def test_near_vectors_are_exact_while_all_rows_are_ranked(spark):
         assert [(s, i) for _, s, i in got] == exact
 
 
+def test_near_vectors_of_every_length_are_found(spark):
+    rows = [(i, v) for i, v in vectors(300, 8, 3) if i % 3 < 2] + [(i, v[: 1 + i % 2]) for i, v in vectors(300, 8, 4) if i % 3 == 2]
+    rows = [(i, v) for i, v in rows if any(v)]
+    known = dict(rows)
+    found = neighbours.near_vectors(table(spark, rows), sample_rows=12).collect()
+    for q in range(0, 300, 50):
+        near = [(-round(cosine(known[q], v), 12), i) for i, v in rows if i != q and len(v) == len(known[q])]
+        got = sorted((r.rank, -round(r.score, 12)) for r in found if r.query_id == q)
+        assert [s for _, s in got] == [s for s, _ in sorted(near)[:5]], q
+    assert len({len(known[q]) for q in range(0, 300, 50)}) > 1
+
+
 def test_near_vectors_of_odd_rows(spark):
+    # Of the odd rows, two can take part, and they don't meet.
     assert neighbours.near_vectors(table(spark, ODD)).count() == 0
     assert neighbours.near_vectors(table(spark, ODD).where("false")).count() == 0
     same = [(i, [1.0, 2.0, 3.0, 4.0]) for i in range(200)]
