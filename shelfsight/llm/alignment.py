@@ -21,8 +21,8 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 from itertools import chain, pairwise
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +36,6 @@ CHUNK = 1 << 18  # Letters that the encoders are given at once.
 KNOWN = 250_000
 KNOWN_LETTERS = 1 << 22
 CUT = re.compile(r"(?<=\S) (?=\S)")
-ID = np.uint32  # Of the ids that are held.
 NONE = -1
 
 
@@ -54,13 +53,7 @@ def byte_letters() -> dict[str, int]:
 
 
 class Coders:
-    """Both encoders, the bytes of their tokens, and the B id with the bytes of each A id.
-
-    A cuts a text before each blank that a letter follows, and no piece of B holds a
-    blank after a letter. So the parts of a text between blanks that stand alone
-    have ids of their own, whatever surrounds them. Words repeat: a part is encoded
-    once, until ``KNOWN`` parts or ``KNOWN_LETTERS`` are held.
-    """
+    """Both encoders, the bytes of their tokens, and the B id with the bytes of each A id."""
 
     def __init__(self, paths: dict[str, str]):
         from sentencepiece import SentencePieceProcessor
@@ -82,11 +75,10 @@ class Coders:
         for i in sorted(range(len(self.b)), key=self.second.is_byte):
             same.setdefault(self.b[i], i)
         self.same = np.array([same.get(t, NONE) if t else NONE for t in self.a], dtype=np.int64)
-        self.known: tuple[dict[str, bytes | None], ...] = ({}, {})
-        self.held = 0
-        self.numbers = [f"{i}{mark}" for mark in ",|;" for i in range(max(len(self.a), len(self.b)))]
         self.a_size = np.array([len(t) for t in self.a], dtype=np.int64)
         self.b_size = np.array([len(t) for t in self.b], dtype=np.int64)
+        # Each number with what follows it in written groups.
+        self.numbers = [f"{i}{mark}" for mark in ",|;" for i in range(max(len(self.a), len(self.b)))]
 
     def _piece(self, i: int) -> bytes:
         piece = self.second.id_to_piece(i)
@@ -94,134 +86,192 @@ class Coders:
             return bytes([int(piece[3:5], 16)])
         return piece.replace("▁", " ").encode()
 
-    def encoded(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """A and B ids of each text; none where the bytes of either are not a blank and the text."""
-        if len(self.known[0]) > KNOWN or self.held > KNOWN_LETTERS:
-            self.known, self.held = ({}, {}), 0
+    def ids(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """A and B ids of a text; None where the bytes of either are not a blank and the text."""
+        x = self.first.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
+        y = self.second.encode(text)
+        want = (" " + text).encode()
+        if any(b"".join(map(spell.__getitem__, ids)) != want for spell, ids in ((self.a, x), (self.b, y))):
+            return None
+        return np.array(x, dtype=np.int64), np.array(y, dtype=np.int64)
+
+
+class Links:
+    """The groups and links of two rows of ids that spell the same bytes, in order."""
+
+    def __init__(self, coders: Coders, a: np.ndarray, b: np.ndarray):
+        a_end, b_end = np.cumsum(coders.a_size[a]), np.cumsum(coders.b_size[b])
+        # Tokens that end where one of the other side does close a group.
+        beside = np.searchsorted(b_end, a_end)
+        closes = b_end[np.minimum(beside, len(b) - 1)] == a_end
+        b_closes = np.zeros(len(b), dtype=bool)
+        b_closes[beside[closes]] = True
+        self.a, self.b = a, b
+        self.ends = a_end[closes]  # In bytes, of each group.
+        self.a_group, self.b_group = np.cumsum(closes) - closes, np.cumsum(b_closes) - b_closes
+        sizes = np.bincount(self.a_group), np.bincount(self.b_group)
+        single = (sizes[0] == 1) & (sizes[1] == 1)
+        # The fast path: one token on each side, and the B id is that of the array.
+        x, y = a[single[self.a_group]], b[single[self.b_group]]
+        known = coders.same[x] == y
+        regular = np.flatnonzero(single)[known]
+        # Everything else: up to each end of either side one A and one B token overlap.
+        odd = np.ones(len(self.ends), dtype=bool)
+        odd[regular] = False
+        cuts = np.union1d(a_end[odd[self.a_group]], b_end[odd[self.b_group]])
+        p, q = a[np.searchsorted(a_end, cuts)], b[np.searchsorted(b_end, cuts)]
+        at = np.searchsorted(self.ends, cuts)
+        # An irregular group can hold a pair of the array too; a document counts once for it.
+        named = coders.same[p] == q
+        # A ids of the links that the array names, and a * (B ids) + b of all others, with their groups.
+        self.same, self.same_group = np.concatenate([x[known], p[named]]), np.concatenate([regular, at[named]])
+        self.pairs, self.pair_group = p[~named] * len(coders.b) + q[~named], at[~named]
+
+    def marked(self, numbers: list[str]) -> list[str]:
+        """The ids in the order in which groups are written, each with its mark: ``1,`` ``2|`` ``7;``."""
+        held = [np.concatenate([[0], np.cumsum(np.bincount(g))]) for g in (self.a_group, self.b_group)]
+        third = len(numbers) // 3
+        place = np.zeros(len(self.a) + len(self.b), dtype=np.int64)
+        # The tokens of a group come after those of all groups before, A first; its last ones end the side.
+        place[np.arange(len(self.a)) + held[1][self.a_group]] = self.a
+        place[np.arange(len(self.b)) + held[0][self.b_group + 1]] = self.b
+        place[held[0][1:] + held[1][:-1] - 1] += third
+        place[held[0][1:] + held[1][1:] - 1] += 2 * third
+        return list(map(numbers.__getitem__, place.tolist()))
+
+
+class Note(NamedTuple):
+    """What is kept of a text: its counts, its groups as ``a1,a2|b1;a3|b2,b3``, and each link with its number of times."""
+
+    n_a: int
+    n_b: int
+    n_groups: int
+    n_links: int
+    groups: str
+    same: np.ndarray
+    same_times: np.ndarray
+    pairs: np.ndarray
+    pair_times: np.ndarray
+
+
+NOTHING = Note(0, 0, 0, 0, "", *[np.zeros(0, dtype=np.int64)] * 4)
+
+
+class Notes:
+    """Notes of texts, by way of their parts.
+
+    A cuts a text before each blank that a letter follows, and no piece of B holds a
+    blank after a letter. So the parts of a text between blanks that stand alone
+    have ids, groups and links of their own, whatever surrounds them. Words repeat:
+    a part is looked at once, until ``KNOWN`` parts or ``KNOWN_LETTERS`` are held.
+    """
+
+    def __init__(self, coders: Coders):
+        self.coders = coders
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.held = 0
+        self.groups: list[str | None] = []  # None where the tokens don't spell the part.
+        self.sizes = np.zeros((0, 4), dtype=np.int64)
+        self.same, self.pairs = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
+        self.same_first, self.pair_first = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
+
+    def of(self, texts: list[str]) -> Iterator[Note]:
+        if len(self.number) > KNOWN or self.held > KNOWN_LETTERS:
+            self._forget()
         split = [CUT.split(t) if t else [] for t in texts]
-        self._learn(set(chain.from_iterable(split)).difference(self.known[0]))
+        self._learn(set(chain.from_iterable(split)).difference(self.number))
         for parts in split:
+            numbers = list(map(self.number.__getitem__, parts))
             try:
-                joined = [b"".join(map(side.__getitem__, parts)) for side in self.known]
-            except TypeError:  # A part without ids is None.
-                joined = [b"", b""]
-            yield tuple(np.frombuffer(ids, dtype=ID).astype(np.int64) for ids in joined)
+                groups = ";".join(map(self.groups.__getitem__, numbers))
+            except TypeError:
+                groups = ""
+            if not groups:
+                yield NOTHING
+                continue
+            at = np.array(numbers)
+            part, times = np.unique(at, return_counts=True)
+            yield Note(
+                *self.sizes[at].sum(axis=0).tolist(),
+                groups,
+                *_summed(self.same, self.same_first, part, times),
+                *_summed(self.pairs, self.pair_first, part, times),
+            )
 
     def _learn(self, parts: set[str]) -> None:
-        """Put the ids of parts into ``known``, as bytes; None where the bytes of the tokens are not those of the part."""
-        self.held += sum(map(len, parts))
         run, size = [], 0
         for part in parts:
             # At a blank between two letters both vocabularies cut, so such parts can be encoded in one go.
             if part != part.strip():
-                self._alone(part)
+                self._add([part])
                 continue
             run.append(part)
             size += len(part)
             if size > CHUNK:
-                self._together(run)
+                self._add(run)
                 run, size = [], 0
         if run:
-            self._together(run)
-
-    def _ids(self, text: str) -> tuple[list[int], list[int]] | None:
-        x = self.first.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
-        y = self.second.encode(text)
-        want = (" " + text).encode()
-        spelled = (b"".join(map(spell.__getitem__, ids)) for spell, ids in ((self.a, x), (self.b, y)))
-        return (x, y) if all(s == want for s in spelled) else None
+            self._add(run)
 
-    def _alone(self, part: str) -> None:
-        ids = self._ids(part) or (None, None)
-        for side, found in zip(self.known, ids, strict=True):
-            side[part] = None if found is None else np.array(found, dtype=ID).tobytes()
-
-    def _together(self, parts: list[str]) -> None:
+    def _add(self, parts: list[str]) -> None:
+        ids = self.coders.ids(" ".join(parts))
         ends = np.cumsum([len(p.encode()) + 1 for p in parts])
-        ids = self._ids(" ".join(parts))
-        sides = []
-        for found, size in zip(ids or (), (self.a_size, self.b_size), strict=bool(ids)):
-            reach = np.cumsum(size[found])
-            last = np.searchsorted(reach, ends)
-            if (reach[last] == ends).all():
-                cuts = (ID().itemsize * np.concatenate([[0], last + 1])).tolist()
-                whole = np.array(found, dtype=ID).tobytes()
-                sides.append([whole[i:j] for i, j in pairwise(cuts)])
-        if len(sides) == 2:
-            for side, found in zip(self.known, sides, strict=True):
-                side.update(zip(parts, found, strict=True))
-        else:
-            for p in parts:
-                self._alone(p)
-
-
-@dataclass
-class Meeting:
-    """The groups and links of one document."""
-
-    a: np.ndarray
-    b: np.ndarray
-    a_group: np.ndarray  # The group of each token.
-    b_group: np.ndarray
-    groups: int
-    links: int
-    same: np.ndarray  # A ids of the links named by the array, and how often each.
-    same_times: np.ndarray
-    pairs: np.ndarray  # a * (B ids) + b of all other links, and how often each.
-    pair_times: np.ndarray
-
-    def written(self, numbers: list[str]) -> str:
-        """The groups as ``a1,a2|b1;a3|b2,b3``; ``numbers`` are those of ``Coders``, each with a comma, a bar and a semicolon."""
-        held = [np.concatenate([[0], np.cumsum(np.bincount(g, minlength=self.groups))]) for g in (self.a_group, self.b_group)]
-        third = len(numbers) // 3
-        place = np.zeros(len(self.a) + len(self.b), dtype=np.int64)
-        # The tokens of a group come after those of all groups before, A first; its last ones end the side.
-        place[np.arange(len(self.a)) + held[1][self.a_group]] = self.a
-        place[np.arange(len(self.b)) + held[0][self.b_group + 1]] = self.b
-        place[held[0][1:] + held[1][:-1] - 1] += third
-        place[held[0][1:] + held[1][1:] - 1] += 2 * third
-        return "".join(map(numbers.__getitem__, place.tolist()))[:-1]
-
-    def digest(self, numbers: list[str]) -> str:
-        return hashlib.sha256(self.written(numbers).encode()).hexdigest() if self.groups else ""
-
-
-def meeting(coders: Coders, a: np.ndarray, b: np.ndarray) -> Meeting:
-    a_end, b_end = np.cumsum(coders.a_size[a]), np.cumsum(coders.b_size[b])
-    # Tokens that end where one of the other side does close a group.
-    beside = np.searchsorted(b_end, a_end)
-    closes = b_end[np.minimum(beside, max(len(b) - 1, 0))] == a_end if len(b) else np.zeros(len(a), dtype=bool)
-    ends, b_closes = a_end[closes], np.zeros(len(b), dtype=bool)
-    b_closes[beside[closes]] = True
-    a_group, b_group = np.cumsum(closes) - closes, np.cumsum(b_closes) - b_closes
-    sizes = np.bincount(a_group, minlength=len(ends)), np.bincount(b_group, minlength=len(ends))
-    single = (sizes[0] == 1) & (sizes[1] == 1)
-    # The fast path: one token on each side, and the B id is that of the array.
-    x, y = a[single[a_group]], b[single[b_group]]
-    known = coders.same[x] == y
-    # Everything else: up to each end of either side one A and one B token overlap.
-    odd = np.ones(len(ends), dtype=bool)
-    odd[np.flatnonzero(single)[known]] = False
-    cuts = np.union1d(a_end[odd[a_group]], b_end[odd[b_group]])
-    p, q = a[np.searchsorted(a_end, cuts)], b[np.searchsorted(b_end, cuts)]
-    # An irregular group can hold a pair of the array too; a document counts once for it.
-    named = coders.same[p] == q
-    same, same_times = np.unique(np.concatenate([x[known], p[named]]), return_counts=True)
-    pairs, pair_times = np.unique(p[~named] * len(coders.b) + q[~named], return_counts=True)
-    links = int(known.sum()) + len(cuts)
-    return Meeting(a, b, a_group, b_group, len(ends), links, same, same_times, pairs, pair_times)
+        links = Links(self.coders, *ids) if ids else None
+        if links is None or not np.isin(ends, links.ends).all():
+            if len(parts) > 1:
+                for part in parts:
+                    self._add([part])
+                return
+            links = None
+        first, count = len(self.groups), len(parts)
+        self.number.update(zip(parts, range(first, first + count), strict=True))
+        self.held += sum(map(len, parts))
+        if links is None:
+            self.groups.append(None)
+            sizes, none = np.zeros((1, 4), dtype=np.int64), np.zeros(1, dtype=np.int64)
+            self._extend(sizes, np.zeros(0, np.int32), none, np.zeros(0, np.int64), none)
+            return
+        of_group = np.searchsorted(ends, links.ends)
+        same_of, pair_of = of_group[links.same_group], of_group[links.pair_group]
+        tokens = [np.bincount(of_group[g], minlength=count) for g in (links.a_group, links.b_group)]
+        linked = [np.bincount(x, minlength=count) for x in (same_of, pair_of)]
+        sizes = np.stack([*tokens, np.bincount(of_group, minlength=count), linked[0] + linked[1]], axis=1)
+        marked = links.marked(self.coders.numbers)
+        cuts = np.concatenate([[0], np.cumsum(tokens[0] + tokens[1])]).tolist()
+        self.groups += ["".join(marked[i:j])[:-1] for i, j in pairwise(cuts)]
+        same = links.same[np.argsort(same_of, kind="stable")].astype(np.int32)
+        self._extend(sizes, same, linked[0], links.pairs, linked[1])
+
+    def _extend(self, sizes, same, same_count, pairs, pair_count) -> None:
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.same, self.pairs = np.concatenate([self.same, same]), np.concatenate([self.pairs, pairs])
+        self.same_first = np.concatenate([self.same_first, self.same_first[-1] + np.cumsum(same_count)])
+        self.pair_first = np.concatenate([self.pair_first, self.pair_first[-1] + np.cumsum(pair_count)])
+
+
+def _summed(flat: np.ndarray, first: np.ndarray, part: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values that parts hold in ``flat``, each once, and how often with each part ``times``."""
+    start = first[part]
+    count = first[part + 1] - start
+    whole = np.cumsum(count)
+    at = np.arange(whole[-1]) + np.repeat(start - whole + count, count)
+    values, back = np.unique(flat[at], return_inverse=True)
+    return values, np.bincount(back, np.repeat(times, count), len(values)).astype(np.int64)
 
 
 class _Lazy:
-    """The encoders of a Python worker, loaded when first asked for."""
+    """The notes of a Python worker's task, their encoders loaded when first asked for."""
 
     def __init__(self, paths: dict[str, str]):
         self.paths, self.made = paths, None
 
-    def __call__(self) -> Coders:
+    def __call__(self, texts: list[str]) -> Iterator[Note]:
         if self.made is None:
-            self.made = Coders(self.paths)
-        return self.made
+            self.made = Notes(Coders(self.paths))
+        return self.made.of(texts)
 
     def __getstate__(self):
         return {"paths": self.paths, "made": None}
@@ -240,46 +290,44 @@ def aligned(documents: DataFrame, paths: dict[str, str] | None = None) -> DataFr
     whose text is NULL or empty, or whose tokens on either side do not spell a
     blank and the text, has no groups. Other columns are ignored.
     """
-    texts, coders = _met(documents, paths)
+    texts, notes = _met(documents, paths)
     schema = "doc_id long, groups array<struct<a: array<int>, b: array<int>>>"
     kinds = pa.list_(pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))]))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(frames):
             out = []
-            for a, b in coders().encoded(batch.column("text").to_pylist()):
-                m = meeting(coders(), a, b)
-                cuts = (np.searchsorted(g, np.arange(1, m.groups)) for g in (m.a_group, m.b_group))
-                sides = [np.split(ids, cut) if m.groups else [] for ids, cut in zip((a, b), cuts, strict=True)]
-                out.append([{"a": x, "b": y} for x, y in zip(*sides, strict=True)])
+            for note in notes(batch.column("text").to_pylist()):
+                sides = [g.split("|") for g in note.groups.split(";") if g]
+                out.append([{"a": list(map(int, a.split(","))), "b": list(map(int, b.split(",")))} for a, b in sides])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, kinds)], ["doc_id", "groups"])
 
     return texts.select("doc_id", "text").mapInArrow(run, schema)
 
 
-NOTES = (
+NOTED = (
     "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
     "same array<int>, same_times array<int>, pairs array<long>, pair_times array<int>"
 )
 
 
 def noted(documents: DataFrame, paths: dict[str, str] | None = None) -> DataFrame:
-    """The links of each row, once each with the number of times, in the columns of ``NOTES``."""
-    texts, coders = _met(documents, paths)
-    names = [c.split()[0] for c in NOTES.split(", ")]
+    """The links of each row, once each with the number of times, in the columns of ``NOTED``."""
+    texts, notes = _met(documents, paths)
+    names = [c.split()[0] for c in NOTED.split(", ")]
     kinds = [pa.int64()] * 6 + [pa.string()] + [pa.list_(pa.int32())] * 2 + [pa.list_(pa.int64()), pa.list_(pa.int32())]
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(frames):
             out = []
-            for a, b in coders().encoded(batch.column("text").to_pylist()):
-                m = meeting(coders(), a, b)
-                out.append((len(a), len(b), m.groups, m.links, m.digest(coders().numbers), m.same, m.same_times, m.pairs, m.pair_times))
+            for note in notes(batch.column("text").to_pylist()):
+                digest = hashlib.sha256(note.groups.encode()).hexdigest() if note.groups else ""
+                out.append((*note[:4], digest, *note[5:]))
             columns = [batch.column("row"), batch.column("doc_id")]
             columns += [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds[2:], strict=True)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return texts.mapInArrow(run, NOTES)
+    return texts.mapInArrow(run, NOTED)
 
 
 def vocabulary_counts(notes: DataFrame, ids: int) -> DataFrame:

@@ -5,6 +5,7 @@ import os
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from samples import odd_rows, said
 
@@ -95,16 +96,34 @@ def test_groups_spell_the_text(spark, documents, coders):
 
 def test_irregular_groups_can_hold_pairs_of_the_array(coders):
     text = TEXTS[3]
-    a, b, _, links = plain(coders, text)
-    import numpy as np
-
-    m = alignment.meeting(coders, np.array(a), np.array(b))
+    a, b, groups, links = plain(coders, text)
+    (m,) = alignment.Notes(coders).of([text])
     held = Counter({(i, int(coders.same[i])): n for i, n in zip(m.same.tolist(), m.same_times.tolist(), strict=True)})
     held += Counter({divmod(p, len(coders.b)): n for p, n in zip(m.pairs.tolist(), m.pair_times.tolist(), strict=True)})
-    assert held == Counter(links)
+    assert held == Counter(links) and (m.n_a, m.n_b, m.n_groups, m.n_links) == (len(a), len(b), len(groups), len(links))
     assert all(coders.b[coders.same[i]] == coders.a[i] for i in range(len(coders.a)) if coders.same[i] >= 0)
 
 
+def test_parts_give_what_whole_texts_give(coders):
+    rng = random.Random(1)
+    bits = ["a", "b ", " ", "\n", "\t", "é", "\xa0", "\u3000", "<|endoftext|>", "</s>", "▁", "1", "23", "'s", "ab", "The"]
+    bits += ["\x1c", "\x85", "\r\n", "中", "😀", "  ", "\x00", "ﬁ", "e\u0301"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(1, 25))) for _ in range(3000)]
+    met = 0
+    for text, note in zip(texts, alignment.Notes(coders).of(texts), strict=True):
+        ids = coders.ids(text)
+        if ids is None:
+            assert note == alignment.NOTHING
+            continue
+        links = alignment.Links(coders, *ids)
+        assert note.groups == "".join(links.marked(coders.numbers))[:-1]
+        assert (note.n_a, note.n_b, note.n_links) == (len(ids[0]), len(ids[1]), len(links.same) + len(links.pairs))
+        assert np.repeat(note.same, note.same_times).tolist() == sorted(links.same.tolist())
+        assert np.repeat(note.pairs, note.pair_times).tolist() == sorted(links.pairs.tolist())
+        met += 1
+    assert met > 1000
+
+
 def test_no_rows(spark, documents):
     found = alignment.link_counts(documents([(1, "x", "a")]).where("false"))
     assert found.columns == COLUMNS and found.count() == 0
