@@ -14,13 +14,18 @@ from shelfsight.operators.common import top_n
 def keyword_counts(
     df: DataFrame, column: str = "title", by: Sequence[str] = ()
 ) -> DataFrame:
-    """How often each keyword occurs; hot words collapse before the shuffle."""
-    return (
+    """How often each keyword occurs; hot words collapse before the shuffle.
+
+    Whether a word is a keyword is asked once for each distinct word: words pass
+    a generator first, below which the question would be asked of every one.
+    """
+    counted = (
         df.select(*by, F.explode(words(F.col(column))).alias("word"))
-        .where(is_keyword(F.col("word")))
         .groupBy(*by, "word")
         .agg(F.count(F.lit(1)).alias("frequency"))
     )
+    each = counted.select(*by, F.inline(F.array(F.struct("word", "frequency"))))
+    return each.where(is_keyword(F.col("word")))
 
 
 def top_keywords(
