@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import math
 import random
+import re
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 from samples import odd_rows
@@ -75,3 +78,71 @@ def test_reserved_names_are_refused_and_others_replaced(documents):
     again = language.identified(docs.withColumn("language", F.lit("x")), F.col("text"), F.col("lang"), F.col("source"))
     assert again.columns == [*docs.columns, "language", "confidence", "accepted"]
     assert again.where("language = 'x'").count() == 0
+
+
+def posterior(table, languages=language.LANGUAGES):
+    """(language, confidence, accepted) of each row, by plain counting."""
+    said = [(d or "")[:2].lower() for _, _, d, _, _ in table]
+    hosts = [(h or "").lower() for *_, h, _ in table]
+    domains = [(re.findall(r"([^.]+\.[^.]+)$", h) or [""])[0] for h in hosts]
+    ends = [h.rsplit(".", 1)[-1] if "." in h else "" for h in hosts]
+    tri = [language.cells(t or "").tolist() for _, t, *_ in table]
+    counts = {k: Counter() for k in languages}
+    for code, found in zip(said, tri, strict=True):
+        if code in counts:
+            counts[code].update(found)
+
+    def mean(found, k):
+        whole = sum(counts[k].values()) + language.ALPHA * language.CELLS
+        return sum(math.log((counts[k][c] + language.ALPHA) / whole) for c in found) / len(found) + math.log(language.CELLS)
+
+    like, over = [], []
+    for found in tri:
+        means = [mean(found, k) for k in languages] if found else [0.0] * len(languages)
+        like.append([m * min(len(found), language.EVIDENCE) for m in means])
+        over.append(max(means) + language.SLACK / len(found) ** 0.5 if found else -99.0)
+    looks = [x.index(max(x)) for x in like]
+    sure = [i for i, o in enumerate(over) if o >= language.CHANCE]
+    every = Counter(looks[i] for i in sure)
+    size = len(languages)
+    prior = [(every[k] + 1) / (len(sure) + size) for k in range(size)]
+
+    def grouped(keys):
+        out = defaultdict(Counter)
+        for i in sure:
+            out[keys[i]][looks[i]] += 1
+        return out
+
+    by_host, by_domain, by_code, by_end = (grouped(x) for x in (hosts, domains, said, ends))
+    out = []
+    for i in range(len(table)):
+        up = prior
+        if domains[i] and domains[i] in by_domain:
+            n = by_domain[domains[i]]
+            up = [(n[k] + language.DOMAIN_WEIGHT * prior[k]) / (sum(n.values()) + language.DOMAIN_WEIGHT) for k in range(size)]
+        mine = prior
+        if hosts[i] in by_host:
+            n = by_host[hosts[i]]
+            mine = [(n[k] + language.HOST_WEIGHT * up[k]) / (sum(n.values()) + language.HOST_WEIGHT) for k in range(size)]
+        score = [x + math.log(m) for x, m in zip(like[i], mine, strict=True)]
+        for known, key in ((by_code, said[i]), (by_end, ends[i])):
+            if key and key in known:
+                score = [x + math.log((known[key][k] + 0.5) / (every[k] + 50.0)) for k, x in enumerate(score)]
+        top = max(score)
+        confidence = 1 / sum(math.exp(x - top) for x in score)
+        accepted = over[i] >= language.CHANCE and confidence >= language.LEAST
+        out.append((languages[score.index(top)] if accepted else None, confidence, accepted))
+    return out
+
+
+def test_posteriors_equal_plain_counting(spark):
+    rng = random.Random(8)
+    table = []
+    for i, text, said, host, code in rows(160):
+        words = text.split()[: rng.choice([1, 2, 30])]
+        table.append((i, " ".join(words), said, rng.choice([host, f"a{i % 3}.site.org", "plain", None]), code))
+    table += [(1000, None, "en", "x.com", ""), (1001, "12", None, None, ""), (1002, "la", "zz", "www.site3.es", "")]
+    got = {r.doc_id: (r.language, r.confidence, r.accepted) for r in found(spark, table).collect()}
+    for row, (name, confidence, accepted) in zip(table, posterior(table), strict=True):
+        assert got[row[0]][::2] == (name, accepted), row
+        assert math.isclose(got[row[0]][1], confidence, rel_tol=1e-9)

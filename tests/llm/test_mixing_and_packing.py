@@ -216,3 +216,53 @@ def test_small_sources_beside_a_huge_one_meet_their_targets(documents):
         slots[r.slot] += r.words
     assert max(slots.values()) <= mixing.BLOCK_WORDS and max(slots) < plan.slots
     assert sorted(r.slot for r in plan.schedule().collect()) == list(range(plan.slots))
+
+
+def test_neighbours_and_windows_equal_plain_bm25():
+    """Scores by the textbook formula, and windows filled by them one document after the other."""
+    rng = random.Random(21)
+    docs = [np.array(rng.choices(range(40), [1 / (i + 1) for i in range(40)], k=rng.randint(1, 30)), dtype=np.uint16) for _ in range(60)]
+    docs += [docs[3]] * 4
+    n, mean = len(docs), sum(map(len, docs)) / len(docs)
+    df = Counter(t for d in docs for t in set(d.tolist()))
+
+    def weight(doc, term):
+        count = doc.tolist().count(term)
+        idf = np.log(1 + (n - df[term] + 0.5) / (df[term] + 0.5))
+        return idf * count * (packing.K1 + 1) / (count + packing.K1 * (1 - packing.B + packing.B * len(doc) / mean))
+
+    def ranked(seed, free):
+        terms = sorted((t for t in set(docs[seed].tolist()) if df[t] > 1), key=lambda t: (-weight(docs[seed], t), t))[:5]
+        score = {i: sum(weight(docs[i], t) for t in terms if t in docs[i]) for i in free}
+        return sorted((i for i in free if score[i] > 0), key=lambda i: (-round(score[i], 9), i)), score
+
+    index = packing.Bm25(docs, 5)
+    for seed in range(n):
+        used = np.zeros(n, dtype=bool)
+        used[[seed, *rng.sample(range(n), 10)]] = True
+        want, score = ranked(seed, [i for i in range(n) if not used[i]])
+        got = index.neighbours(seed, used).tolist()
+        assert sorted(got) == sorted(want)
+        assert [round(score[i], 7) for i in got] == [round(score[i], 7) for i in want]
+
+    free, waiting = list(range(n)), None
+    for window in packing.windows(docs, 64, 5):
+        seed, start = waiting or (free[0], 0)
+        waiting = None
+        if seed in free:
+            free.remove(seed)
+        assert window[0] == (seed, start, min(64, len(docs[seed]) - start))
+        room = 64 - window[0][2]
+        for place, (doc, begin, length) in enumerate(window[1:], 1):
+            near, score = ranked(seed, free)
+            best = score[near[0]] if near else 0
+            assert doc in free and begin == 0 and length == min(room, len(docs[doc]))
+            # The best that is left, or, where none is near, the next one.
+            assert round(score[doc], 7) == round(best, 7) if near else doc == free[0]
+            free.remove(doc)
+            room -= length
+            if length < len(docs[doc]):
+                waiting = (doc, length)
+                assert place == len(window) - 1
+        assert room == 0 or not free
+    assert not free and waiting is None
