@@ -32,9 +32,10 @@ from pyspark.sql import functions as F
 from shelfsight.llm.common import batches, small_batches, stored, text_of
 
 FREQUENT = 100_000
-CHUNK = 1 << 18  # Letters that the encoders are given at once.
-KNOWN = 250_000
-KNOWN_LETTERS = 1 << 22
+CHUNK = 1 << 18  # Letters that are looked at together,
+RUN = 512  # and parts that are encoded as one text.
+KNOWN = 500_000
+KNOWN_LETTERS = 1 << 23
 CUT = re.compile(r"(?<=\S) (?=\S)")
 NONE = -1
 
@@ -86,14 +87,14 @@ class Coders:
             return bytes([int(piece[3:5], 16)])
         return piece.replace("▁", " ").encode()
 
-    def ids(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """A and B ids of a text; None where the bytes of either are not a blank and the text."""
-        x = self.first.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
-        y = self.second.encode(text)
-        want = (" " + text).encode()
-        if any(b"".join(map(spell.__getitem__, ids)) != want for spell, ids in ((self.a, x), (self.b, y))):
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """A and B ids of texts, one after the other; None where the bytes of either are not a blank and the text for each."""
+        want = "".join([" " + t for t in texts]).encode()
+        first = self.first.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
+        sides = list(chain.from_iterable(x.ids for x in first)), list(chain.from_iterable(self.second.encode(texts, num_threads=1)))
+        if any(b"".join(map(spell.__getitem__, ids)) != want for spell, ids in zip((self.a, self.b), sides, strict=True)):
             return None
-        return np.array(x, dtype=np.int64), np.array(y, dtype=np.int64)
+        return tuple(np.array(ids, dtype=np.int64) for ids in sides)
 
 
 class Links:
@@ -217,7 +218,8 @@ class Notes:
             self._add(run)
 
     def _add(self, parts: list[str]) -> None:
-        ids = self.coders.ids(" ".join(parts))
+        # Both encoders are slower on long texts.
+        ids = self.coders.ids([" ".join(parts[i : i + RUN]) for i in range(0, len(parts), RUN)])
         ends = np.cumsum([len(p.encode()) + 1 for p in parts])
         links = Links(self.coders, *ids) if ids else None
         if links is None or not np.isin(ends, links.ends).all():

@@ -111,7 +111,7 @@ def test_parts_give_what_whole_texts_give(coders):
     texts = ["".join(rng.choices(bits, k=rng.randint(1, 25))) for _ in range(3000)]
     met = 0
     for text, note in zip(texts, alignment.Notes(coders).of(texts), strict=True):
-        ids = coders.ids(text)
+        ids = coders.ids([text])
         if ids is None:
             assert note == alignment.NOTHING
             continue
