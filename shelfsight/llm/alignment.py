@@ -21,6 +21,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain, pairwise
 from typing import NamedTuple
 
@@ -32,9 +33,9 @@ from pyspark.sql import functions as F
 from shelfsight.llm.common import batches, small_batches, stored, text_of
 
 FREQUENT = 100_000
-CHUNK = 1 << 18  # Letters that are looked at together,
+CHUNK = 1 << 17  # Letters that are looked at together,
 RUN = 512  # and parts that are encoded as one text.
-KNOWN = 500_000
+KNOWN = 150_000
 KNOWN_LETTERS = 1 << 23
 CUT = re.compile(r"(?<=\S) (?=\S)")
 NONE = -1
@@ -164,7 +165,8 @@ class Notes:
     A cuts a text before each blank that a letter follows, and no piece of B holds a
     blank after a letter. So the parts of a text between blanks that stand alone
     have ids, groups and links of their own, whatever surrounds them. Words repeat:
-    a part is looked at once, until ``KNOWN`` parts or ``KNOWN_LETTERS`` are held.
+    a part is looked at once and kept. When there are ``KNOWN`` of them the more used
+    half stays; when they have ``KNOWN_LETTERS`` none does.
     """
 
     def __init__(self, coders: Coders):
@@ -174,14 +176,18 @@ class Notes:
     def _forget(self) -> None:
         self.number: dict[str, int] = {}
         self.held = 0
+        self.parts: list[str] = []
         self.groups: list[str | None] = []  # None where the tokens don't spell the part.
+        self.uses = np.zeros(0, dtype=np.int64)
         self.sizes = np.zeros((0, 4), dtype=np.int64)
         self.same, self.pairs = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
         self.same_first, self.pair_first = np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64)
 
     def of(self, texts: list[str]) -> Iterator[Note]:
-        if len(self.number) > KNOWN or self.held > KNOWN_LETTERS:
+        if self.held > KNOWN_LETTERS:
             self._forget()
+        elif len(self.parts) > KNOWN:
+            self._halve()
         split = [CUT.split(t) if t else [] for t in texts]
         self._learn(set(chain.from_iterable(split)).difference(self.number))
         for parts in split:
@@ -195,6 +201,7 @@ class Notes:
                 continue
             at = np.array(numbers)
             part, times = np.unique(at, return_counts=True)
+            self.uses[part] += 1
             yield Note(
                 *self.sizes[at].sum(axis=0).tolist(),
                 groups,
@@ -202,6 +209,16 @@ class Notes:
                 *_summed(self.pairs, self.pair_first, part, times),
             )
 
+    def _halve(self) -> None:
+        keep = np.sort(np.argsort(-self.uses, kind="stable")[: KNOWN // 2])
+        self.parts, self.groups = ([held[i] for i in keep.tolist()] for held in (self.parts, self.groups))
+        self.number = dict(zip(self.parts, range(len(keep)), strict=True))
+        self.held = sum(map(len, self.parts))
+        self.sizes, self.uses = self.sizes[keep], self.uses[keep] // 2
+        (at, count), (pair_at, pair_count) = _places(self.same_first, keep), _places(self.pair_first, keep)
+        self.same, self.pairs = self.same[at], self.pairs[pair_at]
+        self.same_first, self.pair_first = (np.concatenate([[0], np.cumsum(n)]) for n in (count, pair_count))
+
     def _learn(self, parts: set[str]) -> None:
         run, size = [], 0
         for part in parts:
@@ -228,8 +245,9 @@ class Notes:
                     self._add([part])
                 return
             links = None
-        first, count = len(self.groups), len(parts)
+        first, count = len(self.parts), len(parts)
         self.number.update(zip(parts, range(first, first + count), strict=True))
+        self.parts += parts
         self.held += sum(map(len, parts))
         if links is None:
             self.groups.append(None)
@@ -249,40 +267,35 @@ class Notes:
 
     def _extend(self, sizes, same, same_count, pairs, pair_count) -> None:
         self.sizes = np.concatenate([self.sizes, sizes])
+        self.uses = np.concatenate([self.uses, np.zeros(len(sizes), dtype=np.int64)])
         self.same, self.pairs = np.concatenate([self.same, same]), np.concatenate([self.pairs, pairs])
         self.same_first = np.concatenate([self.same_first, self.same_first[-1] + np.cumsum(same_count)])
         self.pair_first = np.concatenate([self.pair_first, self.pair_first[-1] + np.cumsum(pair_count)])
 
 
+def _places(first: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the values of parts lie, one part after the other, and how many each has."""
+    count = first[part + 1] - first[part]
+    whole = np.cumsum(count)
+    return np.arange(whole[-1]) + np.repeat(first[part] - whole + count, count), count
+
+
 def _summed(flat: np.ndarray, first: np.ndarray, part: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The values that parts hold in ``flat``, each once, and how often with each part ``times``."""
-    start = first[part]
-    count = first[part + 1] - start
-    whole = np.cumsum(count)
-    at = np.arange(whole[-1]) + np.repeat(start - whole + count, count)
+    at, count = _places(first, part)
     values, back = np.unique(flat[at], return_inverse=True)
     return values, np.bincount(back, np.repeat(times, count), len(values)).astype(np.int64)
 
 
-class _Lazy:
-    """The notes of a Python worker's task, their encoders loaded when first asked for."""
-
-    def __init__(self, paths: dict[str, str]):
-        self.paths, self.made = paths, None
-
-    def __call__(self, texts: list[str]) -> Iterator[Note]:
-        if self.made is None:
-            self.made = Notes(Coders(self.paths))
-        return self.made.of(texts)
-
-    def __getstate__(self):
-        return {"paths": self.paths, "made": None}
+@lru_cache(maxsize=1)
+def notes_of(a: str, b: str) -> Notes:
+    """The notes of a worker process, which its tasks share."""
+    return Notes(Coders({"a": a, "b": b}))
 
 
-def _met(documents: DataFrame, paths: dict[str, str] | None) -> tuple[DataFrame, _Lazy]:
-    small_batches(documents.sparkSession, size="4m")
-    texts = documents.select("doc_id", text_of("text").alias("text"))
-    return texts.withColumn("row", F.monotonically_increasing_id()), _Lazy(paths or tokenizer_paths())
+def _rows(documents: DataFrame) -> DataFrame:
+    small_batches(documents.sparkSession, rows=256, size="4m")
+    return documents.select("doc_id", text_of("text").alias("text"))
 
 
 def aligned(documents: DataFrame, paths: dict[str, str] | None = None) -> DataFrame:
@@ -292,19 +305,19 @@ def aligned(documents: DataFrame, paths: dict[str, str] | None = None) -> DataFr
     whose text is NULL or empty, or whose tokens on either side do not spell a
     blank and the text, has no groups. Other columns are ignored.
     """
-    texts, notes = _met(documents, paths)
+    paths = paths or tokenizer_paths()
     schema = "doc_id long, groups array<struct<a: array<int>, b: array<int>>>"
     kinds = pa.list_(pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))]))
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(frames):
             out = []
-            for note in notes(batch.column("text").to_pylist()):
+            for note in notes_of(paths["a"], paths["b"]).of(batch.column("text").to_pylist()):
                 sides = [g.split("|") for g in note.groups.split(";") if g]
                 out.append([{"a": list(map(int, a.split(","))), "b": list(map(int, b.split(",")))} for a, b in sides])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, kinds)], ["doc_id", "groups"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, schema)
+    return _rows(documents).mapInArrow(run, schema)
 
 
 NOTED = (
@@ -315,14 +328,15 @@ NOTED = (
 
 def noted(documents: DataFrame, paths: dict[str, str] | None = None) -> DataFrame:
     """The links of each row, once each with the number of times, in the columns of ``NOTED``."""
-    texts, notes = _met(documents, paths)
+    paths = paths or tokenizer_paths()
+    texts = _rows(documents).withColumn("row", F.monotonically_increasing_id())
     names = [c.split()[0] for c in NOTED.split(", ")]
     kinds = [pa.int64()] * 6 + [pa.string()] + [pa.list_(pa.int32())] * 2 + [pa.list_(pa.int64()), pa.list_(pa.int32())]
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(frames):
             out = []
-            for note in notes(batch.column("text").to_pylist()):
+            for note in notes_of(paths["a"], paths["b"]).of(batch.column("text").to_pylist()):
                 digest = hashlib.sha256(note.groups.encode()).hexdigest() if note.groups else ""
                 out.append((*note[:4], digest, *note[5:]))
             columns = [batch.column("row"), batch.column("doc_id")]

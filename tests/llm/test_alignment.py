@@ -124,6 +124,22 @@ def test_parts_give_what_whole_texts_give(coders):
     assert met > 1000
 
 
+def test_notes_are_the_same_however_much_is_kept(coders, monkeypatch):
+    rng = random.Random(7)
+    texts = [said(rng, rng.randint(1, 30)) + rng.choice(TEXTS) for _ in range(400)]
+
+    def noted():
+        notes = alignment.Notes(coders)
+        found = [n for i in range(0, 400, 20) for n in notes.of(texts[i : i + 20])]
+        return [(*n[:5], *(x.tolist() for x in n[5:])) for n in found]
+
+    want = noted()
+    monkeypatch.setattr(alignment, "KNOWN", 50)
+    assert noted() == want
+    monkeypatch.setattr(alignment, "KNOWN_LETTERS", 300)
+    assert noted() == want
+
+
 def test_no_rows(spark, documents):
     found = alignment.link_counts(documents([(1, "x", "a")]).where("false"))
     assert found.columns == COLUMNS and found.count() == 0
