@@ -119,3 +119,45 @@ def test_weights_are_the_least_of_the_pairwise_loss_and_scores_follow_from_them(
     cut = np.quantile(own, (y == 0).mean())
     want = 1 / (1 + np.exp(-(own - cut + math.log(0.3 / 0.7))))
     assert np.allclose(ranking.score(x), want)
+
+
+def noisy(count):
+    """Features, and labels that follow one of them with much noise."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(count, len(quality.NAMES))) * rng.uniform(0.1, 9, len(quality.NAMES))
+    return x, (x[:, 1] + 6 * rng.normal(size=count) > 1).astype(int)
+
+
+def test_all_pairs_count():
+    """The weights are where the loss of every pair, written out, is least."""
+    x, y = noisy(300)
+    ranking = quality.Ranking(x, y)
+    z = np.clip((x - x.mean(axis=0)) / (x.std(axis=0) + 1e-9), -8, 8)
+    good, bad = z[y == 1], z[y == 0]
+    d = (good[:, None] - bad[None]).reshape(-1, len(quality.NAMES))
+    want = quality.Ranking._fitted(d, quality.RIDGE)
+    assert np.allclose(ranking.weights, want, atol=1e-4)
+    assert np.isclose(ranking.shift, math.log(0.3 / 0.7) - np.quantile(z @ ranking.weights, (y == 0).mean()))
+
+
+def test_all_labels_count_however_many(spark, monkeypatch):
+    """30,000 labels, each of them in the mean, the weights and the threshold."""
+    x, y = noisy(30_000)
+    values = x.tolist()
+    # Labels that come twice count twice, also those of both kinds.
+    twice, other = np.arange(0, 30_000, 7), np.arange(0, 30_000, 11)
+    table = [*enumerate(y.tolist()), *((int(i), int(y[i])) for i in twice), *((int(i), 1 - int(y[i])) for i in other)]
+    docs = spark.range(30_000).selectExpr("id AS doc_id", "string(id) AS text")
+    monkeypatch.setattr(quality, "_measured", lambda df: measured(df, values))
+    found = quality.trained(docs, spark.createDataFrame(table, "doc_id long, quality int"))
+    rows = np.r_[np.arange(30_000), twice, other]
+    want = quality.Ranking(x[rows], np.r_[y, y[twice], 1 - y[other]])
+    assert np.allclose(found.mean, want.mean) and np.allclose(found.scale, want.scale)
+    assert np.allclose(found.weights, want.weights, atol=1e-6) and np.isclose(found.shift, want.shift, atol=1e-6)
+    assert np.allclose(found.score(x), want.score(x), atol=1e-6)
+
+
+def measured(df, values):
+    """(doc_id, x) of rows whose text is their number."""
+    table = df.sparkSession.createDataFrame([*enumerate(values)], "doc_id long, x array<double>")
+    return df.select("doc_id").join(table, "doc_id")
