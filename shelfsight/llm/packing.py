@@ -22,7 +22,9 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
-from typing import NamedTuple
+from dataclasses import dataclass
+from functools import cached_property
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +52,33 @@ SCHEMA = T.StructType(
 )
 
 
-class Statistics(NamedTuple):
+def terms(ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, times) in order, of documents whose ids stand one after the other between ``bounds``."""
+    n = len(bounds) - 1
+    # Short words sort faster.
+    kind = np.uint32 if n <= 1 << 16 else np.uint64
+    keys = np.repeat(np.arange(n, dtype=kind) << kind(16), np.diff(bounds)) | ids.astype(kind)
+    keys.sort()
+    at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+    count = np.diff(np.r_[at, len(keys)])
+    keys = keys[at].astype(np.int64)
+    return keys >> 16, keys & 0xFFFF, count
+
+
+def heaviest(weight: np.ndarray, bounds: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """The places of the greatest weights between neighbouring ``bounds``, greatest first, ties by place."""
+    for a, b in pairwise(bounds.tolist()):
+        held = -weight[a:b]
+        if b - a > most:
+            # All that weigh as much as the last one are in, so that ties go by place.
+            some = np.flatnonzero(held <= np.partition(held, most - 1)[most - 1])
+            yield a + some[np.argsort(held[some], kind="stable")][:most]
+        else:
+            yield a + np.argsort(held, kind="stable")
+
+
+@dataclass(frozen=True)
+class Statistics:
     """What BM25 needs of a whole corpus: documents, mean length, and documents that hold each term."""
 
     n: int
@@ -62,49 +90,48 @@ class Statistics(NamedTuple):
         held = np.concatenate([np.unique(d) for d in docs])
         return cls(len(docs), sum(map(len, docs)) / len(docs), np.bincount(held, minlength=VOCABULARY))
 
+    @cached_property
+    def idf(self) -> np.ndarray:
+        return np.log1p((self.n - self.df + 0.5) / (self.df + 0.5))
+
     def weights(self, term: np.ndarray, count: np.ndarray, size: np.ndarray | int) -> np.ndarray:
-        idf = np.log1p((self.n - self.df[term] + 0.5) / (self.df[term] + 0.5))
-        return idf * count * (K1 + 1) / (count + K1 * (1 - B + B * size / self.mean))
+        return self.idf[term] * count * (K1 + 1) / (count + K1 * (1 - B + B * size / self.mean))
 
 
 SHUFFLED = np.random.default_rng(SEED).permutation(VOCABULARY)
 
 
-def place_of(doc: np.ndarray, whole: Statistics, query_terms: int = QUERY_TERMS) -> int:
-    """A document's place in the order that is cut into shards."""
-    term, count = np.unique(doc, return_counts=True)
-    weight = whole.weights(term, count, len(doc))
+def places_of(ids: np.ndarray, bounds: np.ndarray, whole: Statistics, query_terms: int = QUERY_TERMS) -> list[int]:
+    """The documents' places in the order that is cut into shards."""
+    doc, term, count = terms(ids, bounds)
     met = whole.df[term] > 1
-    term, weight = term[met], weight[met]
-    asked = SHUFFLED[term[np.lexsort((term, -weight))][:query_terms]]
-    least = np.sort(asked)[:KEY_TERMS].tolist()
-    place = 0
-    for x in [*least, *[VOCABULARY - 1] * (KEY_TERMS - len(least))]:
-        place = place << 16 | x
-    return place - (1 << 63)
+    doc, term, count = doc[met], term[met], count[met]
+    weight = whole.weights(term, count, np.diff(bounds)[doc])
+    places = []
+    for asked in heaviest(weight, np.searchsorted(doc, np.arange(len(bounds))), query_terms):
+        least = np.sort(SHUFFLED[term[asked]])[:KEY_TERMS].tolist()
+        place = 0
+        for x in [*least, *[VOCABULARY - 1] * (KEY_TERMS - len(least))]:
+            place = place << 16 | x
+        places.append(place - (1 << 63))
+    return places
 
 
 class Bm25:
     """An inverted index over the token ids of one shard's documents, weighted by the statistics of all."""
 
     def __init__(self, docs: list[np.ndarray], query_terms: int = QUERY_TERMS, whole: Statistics | None = None):
-        n = len(docs)
         sizes = np.array([len(d) for d in docs])
-        keys = np.concatenate([d.astype(np.int64) + (i << 17) for i, d in enumerate(docs)])
-        keys.sort()
-        at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        count = np.diff(np.r_[at, len(keys)])
-        doc, term = keys[at] >> 17, keys[at] & 0x1FFFF
+        doc, term, count = terms(np.concatenate(docs), np.r_[0, np.cumsum(sizes)])
         weight = (whole or Statistics.of(docs)).weights(term, count, sizes[doc])
-        _, term, df = np.unique(term, return_inverse=True, return_counts=True)
-        order = np.argsort(term, kind="stable")
+        df = np.bincount(term, minlength=VOCABULARY)
+        order = np.argsort(term.astype(np.uint16), kind="stable")
         self.first = np.r_[0, np.cumsum(df)]
         self.docs, self.weights = doc[order], weight[order]
         # A document's heaviest terms are what it asks for, those of no other document of the shard apart.
-        by_doc = np.lexsort((term, -weight, doc))
-        by_doc = by_doc[df[term[by_doc]] > 1]
-        starts = np.searchsorted(doc[by_doc], np.arange(n + 1))
-        self.asked = [term[by_doc[a : min(b, a + query_terms)]] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+        met = df[term] > 1
+        doc, term, weight = doc[met], term[met], weight[met]
+        self.asked = [term[t].tolist() for t in heaviest(weight, np.searchsorted(doc, np.arange(len(docs) + 1)), query_terms)]
         self.sizes = sizes
 
     def neighbours(self, seed: int, used: np.ndarray, room: int | None = None) -> np.ndarray:
@@ -194,9 +221,9 @@ def _tokenized(documents: DataFrame, paths: dict[str, str]) -> DataFrame:
     """(doc_id, row, ids): the token ids of each row, 2 bytes each, with the end."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Tokens(paths)
+        tokens, end = Tokens(paths), np.uint16(END).tobytes()
         for batch in batches(frames):
-            ids = [np.append(tokens.ids(t), np.uint16(END)).tobytes() for t in batch.column("text").to_pylist()]
+            ids = [tokens.ids(t).tobytes() + end for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("row"), pa.array(ids, pa.binary())], ["doc_id", "row", "ids"]
             )
@@ -205,16 +232,24 @@ def _tokenized(documents: DataFrame, paths: dict[str, str]) -> DataFrame:
     return stored(rows.mapInArrow(run, "doc_id long, row long, ids binary"))
 
 
+def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a column of them, one document after the other, and the places where each begins and the last one ends."""
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    _, bounds, held = column.buffers()
+    bounds = np.frombuffer(bounds, dtype=kind)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 2
+    ids = np.frombuffer(held, dtype=np.uint16, count=bounds[-1])
+    return ids[bounds[0] :], bounds - bounds[0]
+
+
 def statistics(tokenized: DataFrame) -> Statistics:
     """The statistics of all rows; the driver receives one number for each term of the vocabulary."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n, size = np.zeros(VOCABULARY, dtype=np.int64), 0, 0
         for batch in batches(frames):
-            for ids in batch.column("ids").to_pylist():
-                doc = np.frombuffer(ids, dtype=np.uint16)
-                df[np.unique(doc)] += 1
-                n, size = n + 1, size + len(doc)
+            ids, bounds = _ids(batch.column("ids"))
+            df += np.bincount(terms(ids, bounds)[1], minlength=VOCABULARY)
+            n, size = n + batch.num_rows, size + len(ids)
         term = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.r_[-2, -1, term], pa.int64()), pa.array(np.r_[n, size, df[term]], pa.int64())], ["term", "n"]
@@ -251,13 +286,12 @@ def packed(
     found = statistics(rows)
     # Ranges of about four fifths of a shard, so that most hold one shard and no short rest.
     parts = math.ceil(1.25 * max(found.n / shard_docs, found.n * found.mean / shard_tokens, 0.8))
-    shared = documents.sparkSession.sparkContext.broadcast(tuple(found))
+    shared = documents.sparkSession.sparkContext.broadcast((found.n, found.mean, found.df))
 
     def placed(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = Statistics(*shared.value)
         for batch in batches(frames):
-            docs = (np.frombuffer(x, dtype=np.uint16) for x in batch.column("ids").to_pylist())
-            places = pa.array([place_of(d, whole, query_terms) for d in docs], pa.int64())
+            places = pa.array(places_of(*_ids(batch.column("ids")), whole, query_terms), pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, places], [*batch.schema.names, "place"])
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import base64
-import re
+from array import array
 
 import numpy as np
 
@@ -17,57 +17,30 @@ def tokenizer_paths() -> dict[str, str]:
     return {name: public_tokenizers.path(f"byte_bpe_50k.{name}") for name in ("json", "tiktoken")}
 
 
-class _Known(dict):
-    """Ids of ``lead`` + part, as bytes, for the parts met so far."""
-
-    def __init__(self, coder, lead: str, most: int):
-        super().__init__()
-        self.coder, self.lead, self.most = coder, lead, most
-
-    def __missing__(self, part: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        found = np.array(self.coder.encode_ordinary(self.lead + part), dtype=np.uint16).tobytes()
-        if len(part) <= 64:
-            self[part] = found
-        return found
-
-
 class Tokens:
     """Ids of texts, without special tokens added.
 
-    The vocabulary splits a text before every blank that precedes a word, so
-    the parts between such places have ids of their own, whatever stands beside
-    them. Words repeat: their ids are kept, up to ``most`` of them, and the
-    ranks of the same vocabulary give the ids of new ones. A text that holds
-    the special token's string goes through the tokenizer file as a whole.
+    The ranks of the vocabulary give the ids of a whole text in one call, which
+    takes less time than to cut it into words and to look up those met before.
+    A text that holds the special token's string goes through the tokenizer file.
     """
 
-    def __init__(self, paths: dict[str, str], most: int = 300_000):
+    def __init__(self, paths: dict[str, str]):
         import public_tokenizers
         import tiktoken
 
         with open(paths["tiktoken"], "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        coder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.first, self.later = _Known(coder, "", most), _Known(coder, " ", most)
+        self.coder = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.path, self.whole = paths["json"], None
 
-    ODD = re.compile(r" (?:\s|\Z)")
-    CUT = re.compile(r"(?= \S)")
-
     def ids(self, text: str) -> np.ndarray:
         if SPECIAL in text:
             if self.whole is None:
                 from tokenizers import Tokenizer
 
                 self.whole = Tokenizer.from_file(self.path)
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=np.uint16)
-        if self.ODD.search(text):
-            first = self.first
-            found = [first[p] for p in self.CUT.split(text) if p]
+            found = self.whole.encode(text, add_special_tokens=False).ids
         else:
-            later = self.later
-            head, *rest = text.split(" ")
-            found = [self.first[head] if head else b"", *[later[p] for p in rest]]
-        return np.frombuffer(b"".join(found), dtype=np.uint16)
+            found = self.coder.encode_ordinary(text)
+        return np.frombuffer(array("H", found), dtype=np.uint16)

@@ -266,3 +266,34 @@ def test_neighbours_and_windows_equal_plain_bm25():
                 assert place == len(window) - 1
         assert room == 0 or not free
     assert not free and waiting is None
+
+
+def test_batches_of_ids_equal_one_document_after_the_other():
+    """Terms, heaviest terms and places of many documents at once, against counting each."""
+    rng = np.random.default_rng(6)
+    docs = [rng.integers(0, 90, k).astype(np.uint16) for k in [1, 700, *rng.integers(1, 80, 60)]]
+    docs += [docs[2], np.array([65535], dtype=np.uint16), np.array([65535, 65535, 7], dtype=np.uint16)]
+    bounds = np.r_[0, np.cumsum([len(d) for d in docs])]
+    whole = packing.Statistics.of(docs)
+    want = [(i, t, n) for i, d in enumerate(docs) for t, n in sorted(Counter(d.tolist()).items())]
+    assert list(zip(*(x.tolist() for x in packing.terms(np.concatenate(docs), bounds)), strict=True)) == want
+    places = packing.places_of(np.concatenate(docs), bounds, whole, 5)
+    for doc, place in zip(docs, places, strict=True):
+        counts = Counter(doc.tolist())
+        weight = {t: whole.weights(np.array([t]), np.array([n]), len(doc))[0] for t, n in counts.items() if whole.df[t] > 1}
+        asked = sorted(weight, key=lambda t: (-weight[t], t))[:5]
+        least = sorted(int(packing.SHUFFLED[t]) for t in asked)[:4]
+        least += [65535] * (4 - len(least))
+        assert place + (1 << 63) == sum(x << 16 * (3 - k) for k, x in enumerate(least))
+    assert [x.tolist() for x in packing.heaviest(np.array([2.0, 3, 2, 2, 3, 1]), np.array([0, 5, 5, 6]), 3)] == [[1, 4, 0], [], [5]]
+
+
+@TOKENIZER
+def test_ids_of_odd_texts_are_those_of_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(4)
+    coder, ids = Tokenizer.from_file(tokens.tokenizer_paths()["json"]), tokens.Tokens(tokens.tokenizer_paths())
+    letters = [*" \n\tab9.'sé中\x1c\x85 ​　😀", "  ", "\r\n", "the", " don't", tokens.SPECIAL]
+    for text in ["".join(rng.choices(letters, k=rng.randint(0, 60))) for _ in range(500)] + ["ab" * 20_000]:
+        assert ids.ids(text).tolist() == coder.encode(text, add_special_tokens=False).ids
